@@ -102,7 +102,7 @@ jump as (
   where j < {SHARDS + 1}),
 ended as (select r, max(shard) as shard, max(grown) as grown from jump group by r),
 crc as (
-  select r, xor(list_reduce(list_transform(regexp_extract_all(hex(text::blob), '..'), lambda h: ('0x' || h)::bigint), lambda c, b:
+  select r, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint), lambda c, b:
       {_CRC_STEP.format(_CRC_STEP.format('xor(c, b)'))}, 4294967295), 4294967295)::bigint as text_crc32
   from base)
 select b.doc_id, b.size::bigint as size, c.text_crc32, 'key' as law, e.shard::int as shard,
