@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash, warc
+from . import bpe, mixing, sharding, simhash, substring, warc
 from .storage import new_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,11 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.deduplicate(table(spark, sf_dir, "documents"), window=20)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op4_simhash": op4_simhash,
         "op5_jump_sharding": op5_jump_sharding,
+        "op7_substring_index": op7_substring_index,
         "op8_curriculum": op8_curriculum,
         "op10_warc": op10_warc,
     }
