@@ -19,28 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .blocks import chunk_pairs, components_of
 from .components import connected_components
 from .storage import materialise
+from .vectors import element_type, matrix, norms, vector_bytes
 
 CHUNK_ROWS = 512
 MISS = 1e-6
 
 
-def vector_bytes(column: pa.Array, dtype: str) -> list[bytes | None]:
-    """Components of each vector; None for one that is null, zero or holds null or non-finite components."""
-    out: list[bytes | None] = []
-    for value in column.to_pylist():
-        if value is None or None in value:
-            out.append(None)
-            continue
-        vector = np.array(value, dtype=dtype)
-        out.append((vector + vector.dtype.type(0)).tobytes() if len(vector) and np.isfinite(vector).all() and vector.any() else None)
-    return out
-
-
 def plan(vectors: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     """Bits per key and number of tables."""
     bits = max(8, math.ceil(math.log2(max(1, vectors) / 256)))
@@ -49,10 +37,8 @@ def plan(vectors: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
 
 
 def _units(blobs: list[bytes], dtype: str) -> np.ndarray:
-    """Unit vectors in double precision, from components of one length."""
-    vectors = np.frombuffer(b"".join(blobs), dtype=dtype).astype(np.float64).reshape(len(blobs), -1)
-    vectors /= np.abs(vectors).max(axis=1, keepdims=True)
-    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    rows = matrix(blobs, dtype)
+    return rows / norms(rows)[:, None]
 
 
 def _keys(units: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
@@ -77,7 +63,7 @@ def near_duplicates(
     """
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     # components stay as they came; all arithmetic is in doubles
-    dtype = "f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "f8"
+    dtype = element_type(rows.schema["v"].dataType)
     width = np.dtype(dtype).itemsize
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

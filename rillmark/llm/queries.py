@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash, substring, warc
+from . import bpe, embedding_dedup, forest, mixing, sharding, simhash, substring, warc
 from .storage import new_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), *vocabulary()), "doc_id")
 
@@ -63,6 +67,10 @@ def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path, least_bytes=0)
@@ -71,11 +79,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_bpe": op2_bpe,
         "op4_simhash": op4_simhash,
         "op5_jump_sharding": op5_jump_sharding,
         "op7_substring_index": op7_substring_index,
         "op8_curriculum": op8_curriculum,
+        "op9_hash_forest": op9_hash_forest,
         "op10_warc": op10_warc,
     }
 
