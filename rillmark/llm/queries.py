@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, forest, mixing, sharding, simhash, substring, warc
+from . import bpe, embedding_dedup, forest, mixing, sharding, simhash, substring, toxicity, warc
 from .storage import new_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,16 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOXIC_FROM = 0.3
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring.deduplicate(table(spark, sf_dir, "documents"), window=20)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -83,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op4_simhash": op4_simhash,
         "op5_jump_sharding": op5_jump_sharding,
+        "op6_toxicity": op6_toxicity,
         "op7_substring_index": op7_substring_index,
         "op8_curriculum": op8_curriculum,
         "op9_hash_forest": op9_hash_forest,
