@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,19 @@ def components_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
 
 
-def segments(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of equal rows in a sorted 2-d array, runs of one row left out."""
-    if len(keys) == 0:
-        return
-    change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-    bounds = np.concatenate([[0], change, [len(keys)]])
-    for i in np.flatnonzero(np.diff(bounds) > 1):
-        yield int(bounds[i]), int(bounds[i + 1])
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the first four columns change, so that no unit is split."""
+    kept: pa.RecordBatch | None = None
+    for batch in batches:
+        if kept is not None and kept.num_rows:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        names = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
+        same = (names == names[-1]).all(axis=1)
+        end = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if end:
+            yield batch.slice(0, end)
+        kept = batch.slice(end)
+    if kept is not None and kept.num_rows:
+        yield kept

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import chunk_pairs, components_of
+from .blocks import chunk_pairs, components_of, whole_units
 from .components import connected_components
 from .storage import materialise
 from .vectors import element_type, matrix, norms, vector_bytes
@@ -105,7 +105,7 @@ def near_duplicates(
     dealt = dealt.repartition(partitions, *unit).sortWithinPartitions(*unit)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_units(batches):
+        for batch in whole_units(batches):
             names = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
             mine, node, n = (np.asarray(batch.column(i)) for i in (4, 5, 6))
             change = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
@@ -145,24 +145,6 @@ def near_duplicates(
     )
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut where the first four columns change, so that no unit is split."""
-    kept: pa.RecordBatch | None = None
-    for batch in batches:
-        if kept is not None and kept.num_rows:
-            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-        if not batch.num_rows:
-            continue
-        names = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
-        same = (names == names[-1]).all(axis=1)
-        end = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if end:
-            yield batch.slice(0, end)
-        kept = batch.slice(end)
-    if kept is not None and kept.num_rows:
-        yield kept
-
-
 def _compare_unit(rows: pa.RecordBatch, name: np.ndarray, mine: np.ndarray, threshold: float, dtype: str):
     """Pairs (i < j) of a unit's rows that link and meet here first; None if there are none."""
     blobs = rows.column(7).to_pylist()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .blocks import chunk_pairs, components_of
+from .blocks import chunk_pairs, components_of, whole_units
 from .components import connected_components
 from .storage import materialise
 
@@ -30,31 +30,37 @@ CHUNK_ROWS = 1024
 _SHINGLES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Unsigned 64-bit SimHash of one whole text; 0 if it has no words."""
+def shingle_slices(text: str | None, shingle: int) -> Iterator[list[bytes]]:
+    """All word shingles of a whole text, A-Z folded, repeats included, some at a time; one if it is shorter."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(length + 1) - 1
     size = min(shingle, len(words))
-    starts, ends = (ends - length)[: len(words) - size + 1], ends[size - 1 :]
-    ones = np.zeros(64, dtype=np.int64)
+    starts, ends = (ends - length)[: len(words) - size + 1], ends[size - 1 if size else 0 :]
     for at in range(0, len(starts), _SHINGLES_AT_ONCE):
         s, e = starts[at : at + _SHINGLES_AT_ONCE].tolist(), ends[at : at + _SHINGLES_AT_ONCE].tolist()
-        hashes = np.fromiter(map(xxh64_intdigest, [joined[i:j] for i, j in zip(s, e)], repeat(SEED)), dtype="<u8", count=len(s))
-        ones += _ones(hashes)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        yield [joined[i:j] for i, j in zip(s, e)]
 
 
-def _ones(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit; bytes are added eight at a time, 255 rows before they could overflow."""
-    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+    if not len(hashes):
+        return np.zeros(64, dtype=np.int64)
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
     sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Unsigned 64-bit SimHash of one whole text; 0 if it has no words."""
+    ones, count = np.zeros(64, dtype=np.int64), 0
+    for slices in shingle_slices(text, shingle):
+        ones += bit_counts(np.fromiter(map(xxh64_intdigest, slices, repeat(SEED)), dtype=np.uint64, count=len(slices)))
+        count += len(slices)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``fingerprint`` (BIGINT with the same bits) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
@@ -126,19 +132,10 @@ def hamming_components(prints: DataFrame, *, distance: int, id_col: str = "doc_i
     dealt = dealt.select(*unit, "fingerprint", "node").repartition(partitions, *unit).sortWithinPartitions(*unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                columns = [np.asarray(c) for c in batch.columns]
-                kept = columns if kept is None else [np.concatenate(x) for x in zip(kept, columns)]
-            if kept is None or not len(kept[0]):
-                continue
-            keys = np.stack([c.astype(np.int64) for c in kept[:4]], axis=1)
+        for batch in whole_units(batches):
+            keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
             number = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
-            # the last unit may go on in the next batch
-            end = len(number) if batch is None else int(np.searchsorted(number, number[-1]))
-            a, b = _links(number[:end], kept[4][:end].view(np.uint64), kept[5][:end], distance)
-            kept = [c[end:] for c in kept]
+            a, b = _links(number, np.asarray(batch.column(4)).view(np.uint64), np.asarray(batch.column(5)), distance)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -150,11 +147,6 @@ def hamming_components(prints: DataFrame, *, distance: int, id_col: str = "doc_i
     return prints.join(labelled, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-def _then_none(batches):
-    yield from batches
-    yield None
-
-
 def near_duplicates(
     docs: DataFrame, *, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
