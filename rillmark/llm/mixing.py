@@ -32,18 +32,19 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...], share: float, most: f
     for one level, found here in one pass over the sources by bound per weight.
     """
     number = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(number - 1, F.lit(len(weights))) + 1).cast("int")))
+    turn = (F.pmod(F.col("number") - 1, F.lit(len(weights))) + 1).cast("int")
+    weighed = sizes.withColumn("number", number).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn))
     bounded = weighed.withColumn("bound", most * F.col("source_size"))
     by_bound = W.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
     whole = W.partitionBy()
     spare = bounded.withColumn("all", F.lit(share) * F.sum("source_size").over(whole)).withColumn(
         "bound_before", F.coalesce(F.sum("bound").over(by_bound.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     ).withColumn("weight_from", F.sum("weight").over(by_bound.rowsBetween(0, W.unboundedFollowing)))
-    # if this source and all after it are below their bounds, they share what is left at this level
+    # capping all before this source leaves this level; the first source below its bound at its level has the largest such
     level = spare.withColumn("level", (F.col("all") - F.col("bound_before")) / F.col("weight_from"))
-    found = F.min(F.when(F.col("weight") * F.col("level") <= F.col("bound"), F.col("level"))).over(whole)
+    found = F.max(F.when(F.col("weight") * F.col("level") <= F.col("bound"), F.col("level"))).over(whole)
     return level.withColumn("target", F.least(F.col("bound"), F.coalesce(F.col("weight") * found, F.col("bound")))).select(
-        "source", "source_size", "weight", "target"
+        "source", "source_size", "number", "weight", "target"
     )
 
 
@@ -73,36 +74,44 @@ def curriculum(
     its documents in one fixed pseudo-random order, and a document is in the mix
     as often as the middle of its words lies below the target, so taken words
     miss the target by at most half a document.  ``ramps`` are the schedules
-    (start, end) that sources take in turn by the weights' order.
+    (start, end) that sources take in turn.
 
     A null or blank text has no words and is not taken; a null source is a
     source; repeated ids are told apart by their texts, and rows alike in both
     are interchangeable.  Reruns give the same result.
     """
-    sized = docs.withColumn("__size", word_count(F.col(text_col))).withColumn("__key", F.xxhash64(F.col(text_col)))
-    slim = sized.select(F.col(source_col).alias("source"), F.col("__size"))
-    sources = targets(
-        slim.groupBy("source").agg(F.sum("__size").alias("source_size")), weights=weights, share=share, most=most
-    ).withColumn("__ramp", F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ramps]), (F.pmod(F.dense_rank().over(W.orderBy("weight")) - 1, F.lit(len(ramps))) + 1).cast("int")))
-    placed = running_before(sized, source_col, [id_col, "__key"], F.col("__size"), "__before", id_col)
-    sources = sources.select(
-        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__ramp"
+    named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__key", F.xxhash64(text_col, source_col))
+    # only ids, sizes and hashes are shuffled to find places; whole rows move once, to be joined
+    slim = named.select("__id", "__key", F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"))
+    plan = targets(
+        slim.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), weights=weights, share=share, most=most
     )
-    joined = placed.join(sources, placed[source_col].eqNullSafe(sources["__source"]))
+    ramp = F.element_at(
+        F.array(*[F.struct(F.lit(start).alias("a"), F.lit(end).alias("b")) for start, end in ramps]),
+        (F.pmod(F.col("number") - 1, F.lit(len(ramps))) + 1).cast("int"),
+    )
+    plan = plan.select(
+        F.col("source").alias("__planned"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), ramp.alias("__ramp")
+    )
+    placed = running_before(slim, "__source", ["__id", "__key"], F.col("__size"), "__before", "__id")
+    joined = placed.join(plan, placed["__source"].eqNullSafe(plan["__planned"]))
     times = F.transform(
         F.sequence(F.lit(0), F.lit(int(most) - 1)),
         lambda k: F.col("__before") + k * F.col("__source_size") + F.col("__size") / 2,
     )
     wanted = F.when(F.col("__size") > 0, F.filter(times, lambda u: u <= F.col("__target"))).otherwise(F.filter(times, lambda u: F.lit(False)))
-    return (
-        joined.withColumn("__taken", wanted)
-        .withColumn("__copies", F.size("__taken"))
-        .withColumn("__positions", F.transform("__taken", lambda u: _time_of(u / F.col("__target"), F.col("__ramp")["a"], F.col("__ramp")["b"])))
-        .drop("__before", "__key", "__source", "__ramp", "__taken")
+    positions = F.transform("__taken", lambda u: _time_of(u / F.col("__target"), F.col("__ramp")["a"], F.col("__ramp")["b"]))
+    found = joined.withColumn("__taken", wanted).select(
+        "__id", "__key", F.struct("__before", "__size", "__source_size", "__target", F.size("__taken").alias("__copies"), positions.alias("__positions")).alias("plan")
     )
+    # rows alike in id and text have a place each, in an array; all others have an array of one
+    found = found.groupBy("__id", "__key").agg(F.sort_array(F.collect_list("plan")).alias("plans"))
+    rank = F.row_number().over(W.partitionBy("__id", "__key").orderBy("__key"))
+    mixed = named.withColumn("__number", rank).join(found, ["__id", "__key"]).withColumn("plan", F.element_at("plans", F.col("__number")))
+    return mixed.select(*[mixed[c] for c in docs.columns], *[F.col(f"plan.{c}") for c in ("__size", "__source_size", "__target", "__copies", "__positions")])
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy that the mix takes, range-sorted by ``position``."""
     copies = mixed.withColumn("position", F.explode("__positions"))
-    return copies.orderBy("position").drop("__size", "__source_size", "__target", "__copies", "__positions")
+    return copies.orderBy("position", "__target").drop("__size", "__source_size", "__target", "__copies", "__positions")

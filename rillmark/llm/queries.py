@@ -146,7 +146,7 @@ spare as (select *, 1.5::double * sum(source_size) over () as total,
     coalesce(sum(bound) over (order by bound / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as bound_before,
     sum(weight) over (order by bound / weight, source nulls last rows between current row and unbounded following) as weight_from from bounded),
 leveled as (select *, (total - bound_before) / weight_from::double as level from spare),
-targets as (select source, source_size, least(bound, coalesce(weight * min(case when weight * level <= bound then level end) over (), bound)) as target from leveled),
+targets as (select source, source_size, least(bound, coalesce(weight * max(case when weight * level <= bound then level end) over (), bound)) as target from leveled),
 placed as (select doc_id, s.source, size, source_size, target,
     coalesce(sum(size) over (partition by s.source order by bucket, doc_id rows between unbounded preceding and 1 preceding), 0) + size / 2.0::double as mid
     from sized s join targets t on s.source is not distinct from t.source)
