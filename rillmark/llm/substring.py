@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import wordhash
 from .storage import new_path, remove
@@ -111,7 +113,7 @@ class SubstringIndex:
         self.spark, self.path = spark, path or new_path(spark, "substrings")
         self.window, self.gram = window, gram
         self.runs: list[str] = []
-        self.batches: list[tuple[DataFrame, int]] = []
+        self.batches: list[DataFrame] = []
         self.buckets = 0
 
     # -- steps ---------------------------------------------------------------
@@ -183,7 +185,7 @@ class SubstringIndex:
                 rows = batch.take(pa.array(order))
                 for block, part in _split(np.asarray(rows.column(0))):
                     sink = pa.BufferOutputStream()
-                    own = rows.slice(part.start, part.stop - part.start).select([2])
+                    own = rows.slice(part.start, part.stop - part.start).select(list(range(2, rows.num_columns)))
                     with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                         out.write_batch(own)
                     ids = _pack(np.asarray(rows.column(1))[part].view(np.uint64))
@@ -199,7 +201,7 @@ class SubstringIndex:
             if not texts.num_rows or not routed.num_rows:
                 return _table(WINDOWS, [])
             block = texts["block"][0].as_py()
-            ids, rows, words = _documents(texts)
+            ids, rows, words, _ = _documents(texts)
             wanted = np.sort(np.concatenate([_sums(_unpack(x.as_py(), 1)[0]) for x in routed["fingerprints"]]))
             parts = []
             for piece in wordhash.pieces(words, window):
@@ -251,44 +253,52 @@ class SubstringIndex:
 
         return windows.groupBy("bucket").applyInArrow(run, _ddl(REPEATS))
 
-    def _kept(self, packed: DataFrame, repeats: DataFrame) -> DataFrame:
+    def _kept(self, packed: DataFrame, repeats: DataFrame, carried: list[T.StructField]) -> DataFrame:
         window = self.window
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed_spans", pa.list_(pa.int64()))])
+        own = "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<long>, text string"
+        out_schema = T.StructType([*T.StructType.fromDDL(own).fields, *carried])
+        arrow = to_arrow_schema(out_schema)
 
         def run(texts: pa.Table, repeated: pa.Table) -> pa.Table:
+            if not texts.num_rows:
+                return arrow.empty_table()
+            ids, rows, words, extra = _documents(texts)
+            doc, place = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            if repeated.num_rows:
+                doc, place = (np.concatenate(x).view(np.int64) for x in zip(*(_unpack(x.as_py(), 2) for x in repeated["repeats"])))
+                doc, place = _in_order(doc, place)
             out = []
-            if texts.num_rows:
-                ids, rows, words = _documents(texts)
-                doc, place = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-                if repeated.num_rows:
-                    doc, place = (np.concatenate(x).view(np.int64) for x in zip(*(_unpack(x.as_py(), 2) for x in repeated["repeats"])))
-                    order = np.lexsort((place, doc))
-                    doc, place = doc[order], place[order]
-                for number, text in enumerate(words):
-                    own = (text or "").encode().split()
-                    lo, hi = np.searchsorted(doc, ids[number], "left"), np.searchsorted(doc, ids[number], "right")
-                    starts = place[lo:hi] - rows[number] * _ROW
-                    starts = starts[(starts >= 0) & (starts < len(own))]
-                    edge = np.zeros(len(own) + 1, dtype=np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    kept = [w for w, g in zip(own, gone.tolist()) if not g] if len(starts) else own
-                    bounds = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    out.append((int(ids[number]) if ids[number] != _NO_ID else None, len(own), len(own) - len(kept), b" ".join(kept).decode(), bounds.tolist()))
-            return _table(schema, out)
-
-        ddl = "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<long>"
-        return packed.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(run, ddl)
+            lows, highs = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+            for number, text in enumerate(words):
+                split = text.encode().split()
+                starts = place[lows[number] : highs[number]] - rows[number] * _ROW
+                starts = starts[(starts >= 0) & (starts < len(split))]
+                name = int(ids[number]) if ids[number] != _NO_ID else None
+                if not len(starts):
+                    out.append((name, len(split), 0, b" ".join(split).decode(), [], text))
+                    continue
+                edge = np.zeros(len(split) + 1, dtype=np.int64)
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, starts + window, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                kept = b" ".join([w for w, g in zip(split, gone.tolist()) if not g]).decode()
+                bounds = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                out.append((name, len(split), int(gone.sum()), kept, bounds.tolist(), kept))
+            columns = [pa.array(list(c), type=f.type) for c, f in zip(zip(*out), arrow)]
+            return pa.Table.from_arrays([*columns, *(c.cast(f.type) for c, f in zip(extra.columns, list(arrow)[6:]))], schema=arrow)
+
+        return packed.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(run, out_schema)
 
     # -- interface -----------------------------------------------------------
 
-    def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
         """Deduplicate a batch against everything added before and against itself, then index it.
 
         Returns one row per row of ``docs``: ``doc_id``, ``n_words``,
-        ``n_removed``, ``kept_text`` (the words kept, joined by one space) and
-        ``removed_spans`` (word offsets: start, end, start, end, ...).  A word
+        ``n_removed``, ``kept_text`` (the words kept, joined by one space),
+        ``removed_spans`` (word offsets: start, end, start, end, ...), ``text``
+        (as given if nothing goes, else the same as ``kept_text``) and the
+        columns named in ``carry``, prefixed ``carried_``.  A word
         goes if a window of ``window`` consecutive words covers it whose words
         also start earlier: in an older batch, at a smaller id, or earlier in
         the document.  Windows are judged on the texts as given.
@@ -307,13 +317,15 @@ class SubstringIndex:
             number.cast("long").alias("block"),
             F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+            *[F.col(c).alias(f"carried_{c}") for c in carry],
         )
-        self.runs.append(self._write_run(self._anchors(blocked)))
-        self.batches.append((blocked, blocks))
+        texts = blocked.select("block", "id", "text")
+        self.runs.append(self._write_run(self._anchors(texts)))
+        self.batches.append(texts)
         new_from = generation * _GENERATION
-        history = reduce(DataFrame.unionByName, [b for b, _ in self.batches])
+        history = reduce(DataFrame.unionByName, self.batches)
         windows = self._windows(self._packed(history), self._routes(new_from))
-        return self._kept(self._packed(blocked), self._repeats(windows, new_from))
+        return self._kept(self._packed(blocked), self._repeats(windows, new_from), blocked.schema.fields[3:])
 
     def compact(self) -> None:
         """Merge all runs to one; what later batches find stays the same."""
@@ -330,20 +342,20 @@ def _in_order(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[order], place[order]
 
 
-def _documents(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Ids, number among rows of the same id, and texts of a block, in the order of id and text."""
+def _documents(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str], pa.Table]:
+    """Ids, number among rows of the same id, texts and carried columns of a block, in the order of id and text."""
     ids = np.concatenate([_unpack(x.as_py(), 1)[0] for x in texts["ids"]]).view(np.int64)
-    words: list[str] = []
-    for blob in texts["texts"]:
-        words += pa.ipc.open_stream(pa.py_buffer(blob.as_py())).read_all().column(0).to_pylist()
+    whole = pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(blob.as_py())).read_all() for blob in texts["texts"]])
+    words = whole.column(0).to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], words[i]))
     ids = ids[order]
     first = np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)]
     group = np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
-    return ids, np.arange(len(ids)) - group, [words[i] for i in order]
+    extra = whole.select(list(range(1, whole.num_columns))).take(pa.array(order, pa.int64())) if whole.num_columns > 1 else pa.table({})
+    return ids, np.arange(len(ids)) - group, [words[i] for i in order], extra
 
 
-def deduplicate(docs: DataFrame, *, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, *, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Deduplicate one table through a new index, in ``batches`` by ascending id (see SubstringIndex.add)."""
     index = SubstringIndex(docs.sparkSession, window=window)
     name = F.col(id_col).cast("long")
@@ -353,5 +365,5 @@ def deduplicate(docs: DataFrame, *, window: int = 20, batches: int = 2, id_col:
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = F.lit(True) if low is None else name > low
         part = part & (name <= high) if high is not None else part | name.isNull()
-        out.append(index.add(docs.filter(part), id_col=id_col, text_col=text_col))
+        out.append(index.add(docs.filter(part), id_col=id_col, text_col=text_col, carry=carry))
     return reduce(DataFrame.unionByName, out)
