@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, forest, mixing, sharding, simhash, substring, toxicity, warc
+from . import bpe, embedding_dedup, forest, lm_score, mixing, sharding, simhash, substring, toxicity, warc
 from .storage import new_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), *vocabulary()), "doc_id")
 
 
+def op3_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against those that are labelled as good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_bpe": op2_bpe,
+        "op3_lm_difference": op3_lm_difference,
         "op4_simhash": op4_simhash,
         "op5_jump_sharding": op5_jump_sharding,
         "op6_toxicity": op6_toxicity,
