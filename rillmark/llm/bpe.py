@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space as the reference tokenizer library's regular expressions see it (Unicode White_Space).
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A single space between two characters that aren't white space always starts a pretoken.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries that a worker's memo holds before it starts anew; a bound on memory only.
