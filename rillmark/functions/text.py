@@ -70,7 +70,8 @@ def html_text(html: Column) -> Column:
     for entity, char in ENTITIES:
         out = F.regexp_replace(out, entity, char)
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{2,}", "\n"))
+    out = F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{2,}", "\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def clean_body(text: Column) -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import name_tokens
 from .lexical import top_k
@@ -29,18 +31,19 @@ def exact_neighbours(queries: DataFrame, items: DataFrame, *, k: int, id_col: st
     rows = items.select(F.col(id_col).alias("item"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
     numbered = asked.withColumn("part", F.floor(F.row_number().over(W.orderBy("query_id")) / block).cast("int"))
     parts = [r[0] for r in numbered.select("part").distinct().orderBy("part").collect()]
-    kind = asked.schema["query_id"].dataType.simpleString()
-    found = [_block(rows, numbered.filter(F.col("part") == p), k, kind) for p in parts]
+    schema = T.StructType([asked.schema["query_id"], rows.schema["item"], T.StructField("score", T.DoubleType())])
+    found = [_block(rows, numbered.filter(F.col("part") == p), k, schema) for p in parts]
     if not found:
-        return rows.sparkSession.createDataFrame([], f"query_id {kind}, item {kind}, score double, rank int")
+        return rows.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
     return top_k(reduce(DataFrame.unionByName, found), k)
 
 
-def _block(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
+def _block(rows: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     data = queries.select("query_id", "v").toPandas()
     names, matrix = data["query_id"].to_numpy(), np.array(data["v"].tolist(), dtype=np.float64)
     sizes = np.sqrt((matrix * matrix).sum(axis=1))
     shared = rows.sparkSession.sparkContext.broadcast((names, matrix, sizes))
+    types = [f.type for f in to_arrow_schema(schema)]
 
     def search(batches):
         names, matrix, sizes = shared.value
@@ -59,9 +62,9 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
                 best[q] = sorted(best[q] + rows)[:k]
         out = [(names[q], item, -score) for q, rows in enumerate(best) for score, item in rows]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["query_id", "item", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=["query_id", "item", "score"])
 
-    return rows.mapInArrow(search, f"query_id {kind}, item {kind}, score double")
+    return rows.mapInArrow(search, schema)
 
 
 def name_ranking(queries: DataFrame, paths: DataFrame, *, k: int, stop_words: tuple[str, ...] = ()) -> DataFrame:

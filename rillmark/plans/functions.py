@@ -26,7 +26,7 @@ _HTML = rf"regexp_replace({_HTML}, '(?i)</?({text.BLOCK_TAGS})\b[^>]*>', chr(10)
 _HTML = rf"regexp_replace({_HTML}, '(?s)<[^>]*>', '', 'g')"
 for _entity, _char in text.ENTITIES:
     _HTML = f"replace({_HTML}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
-_HTML = rf"trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), ' ')"
+_HTML = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
 def clean_body(spark: SparkSession, sf_dir: str) -> DataFrame:
