@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             found = [shared.value.known(terms(t.as_py())).astype(np.int32).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "places"])
 
-    rows = texts.mapInArrow(places, "label int, places binary").orderBy("places", "label").toPandas()
+    rows = texts.mapInArrow(places, "label int, places binary").toPandas().sort_values(["places", "label"])
     shared.destroy()
     return fit(hashes, [np.frombuffer(x, dtype=np.int32) for x in rows["places"]], (rows["label"] > 0).to_numpy(dtype=np.float64))
 
