@@ -12,10 +12,12 @@ from ..functions.text import tokens
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
-def postings(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(term, item, tf, length) of every chunk; counted per chunk before anything is shuffled by term."""
+def postings(chunks: DataFrame, *, only: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(item, term, tf, length) of every chunk, of the terms in ``only`` (column term) if given."""
     words = chunks.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("__w"))
     counted = words.select("item", F.size("__w").alias("length"), F.explode("__w").alias("term"))
+    if only is not None:
+        counted = counted.join(only.select("term").distinct(), "term", "left_semi")
     return counted.groupBy("item", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -50,12 +52,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, *, k: int, id_col: str = "chunk_
     One job for all queries: postings meet only the terms that queries hold, so
     most of them are dropped before they are scored; texts are never shuffled.
     """
-    index = postings(chunks, id_col=id_col, text_col=text_col)
     size = chunks.select(F.size(tokens(F.col(text_col))).cast("long").alias("n")).agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
     count, total = size.c, size.n or 0
     terms = query_terms(queries)
-    # terms of the queries only: the index is filtered before it is counted
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    # only the queries' terms are counted; all others go before anything is shuffled
+    asked = postings(chunks, only=terms, id_col=id_col, text_col=text_col)
     stats = statistics(asked, count, total)
     if prune:
         terms = prune_common(terms, stats, count)
@@ -66,13 +67,22 @@ def bm25(queries: DataFrame, chunks: DataFrame, *, k: int, id_col: str = "chunk_
 
 
 def phrase_hits(queries: DataFrame, chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(query_id, item, hits): chunks that hold all tokens of the query in a row.
+    """(query_id, item, hits): chunks that hold all tokens of the query in a row, and how often.
 
-    Positions of the query's tokens are joined and shifted to the phrase's
-    start, so a phrase is an aggregation and not a scan of texts per query.
+    Each query is looked up by its rarest token, so common words are counted
+    but never paired with queries; only chunks that hold that token are compared.
     """
-    wanted = queries.select("query_id", F.posexplode(tokens(F.col("text"))).alias("offset", "term"))
-    length = wanted.groupBy("query_id").agg(F.count("*").alias("length"))
-    places = chunks.select(F.col(id_col).alias("item"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
-    starts = places.join(wanted, "term").groupBy("query_id", "item", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
-    return starts.join(length, "query_id").filter("n = length").groupBy("query_id", "item").agg(F.count("*").alias("hits"))
+    wanted = queries.select("query_id", tokens(F.col("text")).alias("phrase")).filter(F.size("phrase") > 0)
+    words = wanted.select("query_id", F.explode(F.array_distinct("phrase")).alias("term"))
+    rows = chunks.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("words"))
+    held = rows.select("item", F.explode(F.array_distinct("words")).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
+    known = words.join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    # a query with a token that no chunk holds is in no chunk
+    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    near = held.join(rarest, "term").select("query_id", "item").join(wanted, "query_id").join(rows, "item")
+    length = F.size("phrase")
+    starts = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size("words") - length + 1, F.lit(1))),
+        lambda i: (F.get(F.col("words"), i - 1) == F.get(F.col("phrase"), F.lit(0))) & (F.slice("words", i, length) == F.col("phrase")),
+    )
+    return near.select("query_id", "item", F.size(starts).cast("long").alias("hits")).filter("hits > 0")
