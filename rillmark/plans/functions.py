@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys, text, vectors
+from ..functions import keys, rules, text, vectors
 from ..operators.graph import identifiers
 from .corpus import PATHS, TOKENS, paths, table
 
@@ -120,7 +120,50 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEYWORDS_SQL = r"select item_id, array_to_string(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}+#-]+'), lambda w: length(w) > 1 and w not in ('the', 'of', 'and', 'de')), 1, 6), ' ') as keywords from benchmark"
 
+CLASSES = {"german": ("(?i)\\bund\\b", "(?i)\\bder\\b", "ß"), "english": ("(?i)\\band\\b", "(?i)\\bthe\\b"), "license": ("(?i)licen[cs]e", "(?i)apache")}
+RULES = (("licensed under", "under"), ("the ", "a "), ("[0-9]{3,}", "#"))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, confidence = rules.classify(F.col("text"), CLASSES, "none")
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("class"), confidence.alias("confidence"))
+
+
+def _count_sql(patterns: tuple[str, ...]) -> str:
+    return " + ".join(f"regexp_matches(text, '{p}')::int" for p in patterns)
+
+
+CLASSIFIED_SQL = (
+    "with c as (select doc_id, " + ", ".join(f"{_count_sql(p)} as {c}" for c, p in CLASSES.items()) + " from documents), m as (select *, greatest(german, english, license) as most from c) "
+    "select doc_id, case when most = 0 then 'none' when german = most then 'german' when english = most then 'english' else 'license' end as class, "
+    "case when most > 0 then least(0.95::double, round(0.6::double + 0.1::double * most, 2)) else 0.55::double end as confidence from m"
+)
+
+
+def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, hits = rules.scrub(F.col("text"), RULES)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(out.cast("binary")).alias("digest"), F.length(out).alias("n"))
+
+
+_SCRUB = "text"
+for _pattern, _new in RULES:
+    _SCRUB = f"regexp_replace({_SCRUB}, '(?i){_pattern}', '{_new}', 'g')"
+_SCRUB = f"trim(regexp_replace({_SCRUB}, ' {{2,}}', ' ', 'g'), ' ')"
+
+
+def rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, mean, variance = rules.sentence_rhythm(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("sentences"), F.round(mean, 6).alias("mean"), F.round(variance, 6).alias("variance"))
+
+
+RHYTHM_SQL = """with p as (select doc_id, list_filter(regexp_split_to_array(text, '[.!?]+(?:\\s+|$)'), lambda s: length(trim(s)) > 0) as parts from documents),
+l as (select doc_id, list_transform(parts, lambda s: len(regexp_split_to_array(trim(s), '\\s+'))::double) as lens from p)
+select doc_id, len(lens)::int as sentences, round(coalesce(list_avg(lens), 0), 6) as mean, round(coalesce(list_var_samp(lens), 0), 6) as variance from l"""
+
 QUERIES = {
+    "classified_texts": (classified, CLASSIFIED_SQL),
+    "scrubbed_texts": (scrubbed, f"select doc_id, md5(t) as digest, length(t)::int as n from (select doc_id, {_SCRUB} as t from documents)"),
+    "sentence_rhythm": (rhythm, RHYTHM_SQL),
     "folded_tokens": (folded_tokens, f"select doc_id, len({TOKENS.format('text')})::int as n, md5(array_to_string({TOKENS.format('text')}, ' ')) as digest from documents"),
     "html_to_text": (html_text, f"select page_id, length(t)::int as n, md5(t) as digest from (select page_id, {_HTML} as t from pages)"),
     "clean_body": (clean_body, CLEAN_SQL),
