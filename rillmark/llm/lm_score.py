@@ -129,7 +129,8 @@ def cross_entropy_difference(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    ids = target_ids.select(F.col(id_col).alias("__target_id")).distinct()
+    # target ids grow with the corpus, so they are joined by a shuffle at every size
+    ids = target_ids.select(F.col(id_col).alias("__target_id")).distinct().hint("merge")
     marked = rows.join(ids, rows[id_col] == ids["__target_id"], "left").select("text", F.col("__target_id").isNotNull().alias("target"))
     shared = spark.sparkContext.broadcast(tuple(c.astype(np.float32) for c in train(spark, marked)))
     own = rows.schema[id_col].dataType.simpleString()
