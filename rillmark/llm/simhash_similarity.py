@@ -8,8 +8,11 @@ permutations: two texts at the threshold share one of the blocks with a
 probability of 1 - miss.  Pairs that share a block are verified by Hamming
 distance; of the close pairs of a unit of work those that span it with the
 least distances go on, and these are verified by the exact similarity.  A
-spanning tree of least distances joins whatever the close pairs above a
-threshold join, so a crowded group costs one pair per member and not its square.
+spanning tree of least distances joins whatever the close pairs join, so a
+crowded group costs one pair per member and not its square; but a pair of the
+tree that fails the exact check may have displaced one that would hold.  So
+where failed pairs leave a group of close texts in several parts, all pairs
+across its parts are verified exactly, in units of bounded size.
 """
 
 from __future__ import annotations
@@ -84,6 +87,34 @@ def _spanning(left: np.ndarray, right: np.ndarray, distance: np.ndarray, n: int)
     return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
 
 
+def _cross_links(part: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links by exact similarity that join the parts of one unit as far as all pairs across parts would."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    part, marked = np.unique(part, return_inverse=True)[1], np.zeros(len(names), dtype=bool)
+    left, right = [], []
+    for i in range(len(sets) - 1):
+        later = np.arange(i + 1, len(sets))
+        fit = np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i])
+        later = later[fit & (part[later] != part[i])]
+        if not len(later):
+            continue
+        own = flat[starts[i] : starts[i] + size[i]]
+        marked[own] = True
+        n = size[later]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1]) + np.repeat(starts[later] - (ends - n), n)
+        common = np.add.reduceat(marked[flat[places]].astype(np.int64), ends - n)
+        marked[own] = False
+        for j in later[common >= similarity * (n + size[i] - common)].tolist():
+            if part[j] != part[i]:
+                left.append(i)
+                right.append(j)
+                part[part == part[j]] = part[i]
+    return left, right
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``component_id`` (smallest id of its group) of every row of ``docs``.
 
@@ -165,15 +196,71 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
                 left, right = shingle_hashes(x.as_py(), shingle), shingle_hashes(y.as_py(), shingle)
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 good.append(common >= similarity * (len(left) + len(right) - common))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
     )
-    links = joined.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-    found = connected_components(links)
+    verified = materialise(joined.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, good boolean"), "verified")
+    found = connected_components(verified.filter("good"))
+    parts = materialise(ends.join(found, ends["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("part")), "parts")
+    found = parts.select(F.col("id").alias("node"), F.col("part").alias("component"))
+    failed = verified.filter("not good").join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a")
+    failed = failed.join(parts.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b").filter("pa <> pb")
+    failed = materialise(failed.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "failed")
+    if not failed.isEmpty():
+        more = connected_components(_links_across_parts(failed, parts, texts, shingle, similarity))
+        found = found.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select(
+            "node", F.coalesce("whole", "component").alias("component")
+        )
     labelled = classes.join(found, classes["node"] == found["node"], "left").select(
         "print", "size", F.coalesce("component", classes["node"]).alias("component_id")
     )
     return printed.join(labelled, ["print", "size"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def _links_across_parts(failed: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links between parts (``a``, ``b``) by any two of their texts, among parts that failed pairs join to one group.
+
+    The largest part of a group is not compared within itself: its chunks meet
+    the chunks of the other rows only.
+    """
+    groups = connected_components(failed)
+    # a group's smallest node stands there as a component only
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    sizes = parts.join(groups, parts["part"] == groups["node"]).groupBy("component", "part").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("component").agg(F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("main"))
+    small = F.col("all") <= CHUNK_ROWS
+    chunks = lambda n: F.ceil(n / F.lit(CHUNK_ROWS)).cast("int")
+    most = most.select(
+        F.col("component").alias("key"),
+        F.col("main.part").alias("main"),
+        F.when(small, 0).otherwise(chunks(F.col("main.n"))).alias("main_chunks"),
+        F.when(small, 1).otherwise(chunks(F.col("all") - F.col("main.n"))).alias("other_chunks"),
+    )
+    rows = parts.join(groups, parts["part"] == groups["node"]).select("id", "part", F.col("component").alias("key")).join(most, "key")
+    in_main = (F.col("part") == F.col("main")) & (F.col("main_chunks") > 0)
+    salt = F.xxhash64("id")
+    rows = rows.withColumn(
+        "mine",
+        F.when(in_main, F.pmod(salt, F.greatest("main_chunks", F.lit(1)))).otherwise(F.col("main_chunks") + F.pmod(salt, F.col("other_chunks"))).cast("int"),
+    )
+    first = F.when(in_main, F.col("main_chunks")).otherwise(F.lit(0))
+    rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("main_chunks") + F.col("other_chunks") - 1)))
+    unit = ["tab", "key", "ci", "cj"]
+    dealt = rows.select(F.lit(0).alias("tab"), "key", F.least("mine", "other").alias("ci"), F.greatest("mine", "other").alias("cj"), "id", "part")
+    partitions = max(1, int(failed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.join(texts, "id").select(*unit, "part", "text").repartition(partitions, *unit).sortWithinPartitions(*unit)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_units(batches):
+            names = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            part = np.asarray(batch.column(4))
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+                sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(5).slice(lo, hi - lo)]
+                left, right = _cross_links(part[lo:hi], sets, similarity)
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(part[lo:hi][left]), pa.array(part[lo:hi][right])], names=["a", "b"])
+
+    return dealt.mapInArrow(link, "a long, b long")

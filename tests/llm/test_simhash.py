@@ -79,6 +79,26 @@ def test_similarity_matches_exact_jaccard(spark, rows):
     assert got == group(ids, linked)
 
 
+@pytest.mark.parametrize("chunk", [512, 64])
+def test_similarity_links_a_star_of_edited_copies(spark, monkeypatch, chunk):
+    """Copies at 0.8 and more to one original, below that to one another: the original's links alone hold them together."""
+    monkeypatch.setattr(simhash_similarity, "CHUNK_ROWS", chunk)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001):
+        words = list(base)
+        for at in r.sample(range(10, 390, 10), 8):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    sets = [frozenset(shingles(t, 5)) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(alike(sets[0], s) for s in sets) and not alike(sets[1], sets[2])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash_similarity.near_duplicates(df).collect()}
+    assert sum(c != 0 for c in got.values()) <= 10  # block keys may miss a pair at the threshold
+
+
 def test_spanning_forest_has_least_distances():
     r = np.random.default_rng(1)
     left, right = np.triu_indices(30, 1)
