@@ -65,3 +65,36 @@ def test_empty_tables(spark):
     assert lm_score.cross_entropy_difference(none, ids).count() == 0
     one = spark.createDataFrame([(1, "a b", 9)], "doc_id long, text string, target int")
     assert lm_score.cross_entropy_difference(one, ids).first().n_tokens == 2
+
+
+@pytest.mark.parametrize("tokens", [1 << 20, 500])
+def test_words_and_bigrams_are_not_merged(spark, monkeypatch, tokens):
+    """Against strings as keys, with words whose hashes agree in their low bits, over one block and several."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", tokens)
+    groups: dict = {}
+    for i in range(20000):
+        groups.setdefault(xxh64_intdigest(b"w%d" % i) % (1 << 17), []).append(f"w{i}")
+    vocabulary = [w for g in groups.values() if len(g) > 1 for w in g][:600]
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(vocabulary[: 300 if i % 2 else 600], k=r.randint(0, 40)))) for i in range(200)]
+    models = []
+    for chosen in (rows[::5], rows):
+        uni, ctx, bi = Counter(), Counter(), Counter()
+        for _, t in chosen:
+            words = t.split()
+            uni.update(words)
+            ctx.update(["", *words][: len(words)])
+            bi.update(zip(["", *words], words))
+        models.append((uni, ctx, bi, sum(uni.values())))
+    want = {}
+    for i, t in rows:
+        words = t.split()
+        for uni, ctx, bi, n in models:
+            p = [(uni[w] + lm_score.UNIGRAM_PRIOR) / (n + lm_score.UNIGRAM_PRIOR * lm_score.CLASSES) for w in words]
+            loss = [-math.log((bi[a, b] + lm_score.BIGRAM_PRIOR * q) / (ctx[a] + lm_score.BIGRAM_PRIOR)) for a, b, q in zip(["", *words], words, p)]
+            want.setdefault(i, []).append(sum(loss) / len(loss) if loss else None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    ids = spark.createDataFrame([(i,) for i, _ in rows[::5]], "doc_id long")
+    got = {x.doc_id: [x.target_loss, x.background_loss] for x in lm_score.cross_entropy_difference(docs, ids).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == (pytest.approx(want[i], rel=1e-9) if want[i][0] is not None else want[i]) for i in want)
