@@ -45,6 +45,15 @@ def test_matches_brute_force(spark, monkeypatch, chunk, kind):
     assert got == brute(rows, 0.95)
 
 
+def test_repeated_and_null_ids_are_compared_row_by_row(spark):
+    a, b, c, far = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [1.0, 0.0, 0.01], [0.0, 0.0, 1.0]
+    rows = [(5, a), (5, b), (9, c), (5, far), (None, [0.0, 1.0, 0.0]), (12, [0.2, 1.0, 0.0]), (11, [-0.2, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()), key=repr)
+    # the vector without an id is within 0.95 of 11 and 12, which are not of one another
+    assert got == sorted([(5, 2, 5), (5, 2, 5), (9, 2, 5), (5, 0, 5), (None, 2, 11), (12, 1, 11), (11, 1, 11)], key=repr)
+
+
 def test_unequal_lengths_and_scales(spark):
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [-1.0, -2.0]), (5, [1e-300, 2e-300])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -55,7 +64,7 @@ def test_unequal_lengths_and_scales(spark):
 def test_empty_nulls_and_clashing_columns(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     df = spark.createDataFrame([(None, [1.0, 0.0], 1, "x"), (None, [1.0, 0.0], 2, "y")], "vec_id long, embedding array<float>, node long, class string")
-    assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(None, 0, None, True)] * 2
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(None, 1, None, True)] * 2  # null ids link like others
 
 
 def test_planned_tables_hold_the_miss_rate():
