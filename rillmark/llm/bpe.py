@@ -13,6 +13,7 @@ Nulls count as empty texts.  Whole texts are encoded, whatever their length.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -197,11 +198,12 @@ class Codec:
         return self.bytes[np.repeat(self.start[ids] - (ends - length), length) + np.arange(ends[-1])].tobytes()
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(shared, pattern: str) -> Codec:
-    key = hash((id(shared), pattern))
+def _codec(shared, digest: str, pattern: str) -> Codec:
+    """This worker's codec of the ranks with this digest; a worker that gets other ranks starts anew."""
+    key = (digest, pattern)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(shared.value, pattern)
@@ -219,14 +221,16 @@ def encode_decode(
     reads its own documents.  The ranks (a fixed vocabulary file) are broadcast.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(ranks)
     kept = docs.select(id_col, *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = T.StructType(
         [*kept.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = _codec(shared, digest, pattern)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             sizes = np.cumsum(np.fromiter((len(t) for t in texts.to_pylist()), dtype=np.int64, count=len(texts)))
