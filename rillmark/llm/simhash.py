@@ -119,31 +119,32 @@ def hamming_components(prints: DataFrame, *, distance: int, id_col: str = "doc_i
     """Add ``component_id``: the smallest id reachable by links of at most ``distance`` differing bits.
 
     ``prints`` has ``id_col`` (BIGINT) and ``fingerprint`` (BIGINT) and should
-    be a written table: it is read several times.  Repeated rows and equal
-    fingerprints link like any others.
+    be a written table: it is read several times.  Fingerprints are the nodes,
+    so repeated rows, repeated ids and null ids link like any others; a group
+    without an id has a null component.
     """
-    classes = materialise(prints.groupBy("fingerprint").agg(F.min(id_col).alias("node")), "classes")
+    classes = materialise(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "classes")
     masks = block_masks(distance, classes.count())
     tables = F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    rows = classes.filter("node is not null").select("fingerprint", "node", F.inline(tables))
-    dealt = chunk_pairs(rows, CHUNK_ROWS, "fingerprint")
+    dealt = chunk_pairs(classes.select("fingerprint", F.inline(tables)), CHUNK_ROWS, "fingerprint")
     unit = ["tab", "key", "ci", "cj"]
     partitions = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.select(*unit, "fingerprint", "node").repartition(partitions, *unit).sortWithinPartitions(*unit)
+    dealt = dealt.select(*unit, "fingerprint").repartition(partitions, *unit).sortWithinPartitions(*unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_units(batches):
             keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
             number = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
-            a, b = _links(number, np.asarray(batch.column(4)).view(np.uint64), np.asarray(batch.column(5)), distance)
+            node = np.asarray(batch.column(4))
+            a, b = _links(number, node.view(np.uint64), node, distance)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    links = dealt.mapInArrow(run, "a long, b long")
-    found = connected_components(links)
-    labelled = classes.join(found, classes["node"] == found["node"], "left").select(
-        "fingerprint", F.coalesce("component", classes["node"]).alias("component_id")
-    )
+    found = connected_components(dealt.mapInArrow(run, "a long, b long"))
+    group = F.coalesce("component", "fingerprint").alias("group")
+    grouped = classes.join(found, classes["fingerprint"] == found["node"], "left").select("fingerprint", "least", group)
+    named = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    labelled = grouped.join(named, "group").select("fingerprint", "component_id")
     return prints.join(labelled, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
