@@ -6,6 +6,9 @@ cumulative demand D(t) is the target times the integral of its schedule, scaled
 to end at the target.  A document that covers the words from u of its source's
 stream is placed at the time t where D(t) = u, which inverts the cumulative
 demand in closed form, and documents are range-sorted by that position.
+
+Words are counted once, into a written table of ids, hashes and sizes; places
+and ranks are found on that table alone, and whole rows move once, to be joined.
 """
 
 from __future__ import annotations
@@ -15,7 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranking import running_before
+from .storage import materialise
 
+#: Copies per bin of the range sort, about.
+BIN_COPIES = 1 << 16
+#: Columns that a mix adds.
+ADDED = ("__size", "__source_size", "__target", "__copies", "__positions", "__ranks")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,6 +63,22 @@ def _time_of(part: Column, start: Column, end: Column) -> Column:
     return 2 * area / (start + F.sqrt(F.greatest(start * start + 2 * (end - start) * area, F.lit(0.0))))
 
 
+def _ranks(copies: DataFrame, bins: int) -> DataFrame:
+    """Add ``rank`` (from 0), the place of each copy after a range sort by position; rows without a position get null.
+
+    Positions are cut into ranges; the totals of the ranges (one row per
+    range) give each range its first rank, and each range is sorted by itself.
+    """
+    placed = copies.filter("position is not null").withColumn("bin", F.least(F.floor(F.col("position") * bins), F.lit(bins - 1)).cast("int"))
+    totals = placed.groupBy("bin").agg(F.count("*").alias("held"))
+    ahead = F.coalesce(F.sum("held").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = totals.select(F.col("bin").alias("range"), ahead.alias("first"))
+    inside = F.row_number().over(W.partitionBy("bin").orderBy("position", "number", "at"))
+    ranked = placed.withColumn("inside", inside).join(firsts, F.col("bin") == F.col("range"))
+    ranked = ranked.withColumn("rank", F.col("first") + F.col("inside") - 1).select(*copies.columns, "rank")
+    return ranked.unionByName(copies.filter("position is null").withColumn("rank", F.lit(None).cast("long")))
+
+
 def curriculum(
     docs: DataFrame,
     *,
@@ -69,49 +93,67 @@ def curriculum(
     """Every row of ``docs`` with what the mix takes of it and where.
 
     Adds ``__size`` (words), ``__source_size``, ``__target``, ``__copies`` (how
-    often it is taken, at most ``most``) and ``__positions`` (array of times in
-    [0, 1], one per copy).  Whole documents are taken: a source's stream repeats
+    often it is taken, at most ``most``), ``__positions`` (array of times in
+    [0, 1], one per copy) and ``__ranks`` (array: each copy's place, from 0, in
+    the training order).  Whole documents are taken: a source's stream repeats
     its documents in one fixed pseudo-random order, and a document is in the mix
     as often as the middle of its words lies below the target, so taken words
     miss the target by at most half a document.  ``ramps`` are the schedules
-    (start, end) that sources take in turn.
+    (start, end) that sources take in turn.  Copies at one position are ordered
+    by source, then by their place in its stream.
 
     A null or blank text has no words and is not taken; a null source is a
     source; repeated ids are told apart by their texts, and rows alike in both
-    are interchangeable.  Reruns give the same result.
+    are interchangeable.  Columns of ``docs`` keep their values, whatever their
+    names, but for one named like an added column, which is replaced.  An empty
+    table gives an empty result.  Reruns give the same result.
     """
-    named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__key", F.xxhash64(text_col, source_col))
-    # only ids, sizes and hashes are shuffled to find places; whole rows move once, to be joined
-    slim = named.select("__id", "__key", F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"))
-    plan = targets(
-        slim.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), weights=weights, share=share, most=most
-    )
+    spark = docs.sparkSession
+    # columns are numbered while they are carried, so that no name clashes
+    carried = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    row_id = F.coalesce(F.col(name[id_col]).cast("string"), F.lit(""))
+    row_key = F.xxhash64(name[text_col], name[source_col])
+    slim = carried.select(row_id.alias("id"), row_key.alias("key"), F.col(name[source_col]).alias("source"), word_count(F.col(name[text_col])).alias("size"))
+    slim = materialise(slim, "sizes")
+    bins = max(1, int(slim.count() * most) // BIN_COPIES)
+    plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
     ramp = F.element_at(
         F.array(*[F.struct(F.lit(start).alias("a"), F.lit(end).alias("b")) for start, end in ramps]),
         (F.pmod(F.col("number") - 1, F.lit(len(ramps))) + 1).cast("int"),
     )
-    plan = plan.select(
-        F.col("source").alias("__planned"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), ramp.alias("__ramp")
-    )
-    placed = running_before(slim, "__source", ["__id", "__key"], F.col("__size"), "__before", "__id")
-    joined = placed.join(plan, placed["__source"].eqNullSafe(plan["__planned"]))
-    times = F.transform(
-        F.sequence(F.lit(0), F.lit(int(most) - 1)),
-        lambda k: F.col("__before") + k * F.col("__source_size") + F.col("__size") / 2,
-    )
-    wanted = F.when(F.col("__size") > 0, F.filter(times, lambda u: u <= F.col("__target"))).otherwise(F.filter(times, lambda u: F.lit(False)))
-    positions = F.transform("__taken", lambda u: _time_of(u / F.col("__target"), F.col("__ramp")["a"], F.col("__ramp")["b"]))
-    found = joined.withColumn("__taken", wanted).select(
-        "__id", "__key", F.struct("__before", "__size", "__source_size", "__target", F.size("__taken").alias("__copies"), positions.alias("__positions")).alias("plan")
-    )
+    plan = plan.select(F.col("source").alias("planned"), "number", "source_size", "target", ramp.alias("ramp"))
+    placed = running_before(slim, "source", ["id", "key"], F.col("size"), "before", "id")
+    joined = placed.join(plan, placed["source"].eqNullSafe(plan["planned"]))
+    # the middle of each copy's words in its source's stream
+    middles = F.transform(F.sequence(F.lit(0), F.lit(int(most) - 1)), lambda k: F.col("before") + k * F.col("source_size") + F.col("size") / 2)
+    wanted = F.when(F.col("size") > 0, F.filter(middles, lambda u: u <= F.col("target"))).otherwise(F.filter(middles, lambda u: F.lit(False)))
+    copies = joined.withColumn("at", F.explode_outer(wanted)).withColumn("position", _time_of(F.col("at") / F.col("target"), F.col("ramp.a"), F.col("ramp.b")))
+    facts = ["id", "key", "before", "size", "source_size", "target"]
+    found = _ranks(copies.select(*facts, "number", "at", "position"), bins).repartition("id", "key")
+    taken = F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("at", "position", "rank"))))
+    found = found.groupBy(*facts).agg(taken.alias("taken"))
     # rows alike in id and text have a place each, in an array; all others have an array of one
-    found = found.groupBy("__id", "__key").agg(F.sort_array(F.collect_list("plan")).alias("plans"))
-    rank = F.row_number().over(W.partitionBy("__id", "__key").orderBy("__key"))
-    mixed = named.withColumn("__number", rank).join(found, ["__id", "__key"]).withColumn("plan", F.element_at("plans", F.col("__number")))
-    return mixed.select(*[mixed[c] for c in docs.columns], *[F.col(f"plan.{c}") for c in ("__size", "__source_size", "__target", "__copies", "__positions")])
+    plan_of = F.struct("before", "size", "source_size", "target", "taken")
+    found = found.groupBy("id", "key").agg(F.sort_array(F.collect_list(plan_of)).alias("plans"))
+    named = carried.withColumn("id", row_id).withColumn("key", row_key)
+    named = named.withColumn("nth", F.row_number().over(W.partitionBy("id", "key").orderBy("key")))
+    # alike rows without words share one place
+    mixed = named.join(found, ["id", "key"]).withColumn("plan", F.element_at("plans", F.least(F.col("nth"), F.size("plans"))))
+    added = [F.col("plan.size"), F.col("plan.source_size"), F.col("plan.target"), F.size("plan.taken"), F.col("plan.taken.position"), F.col("plan.taken.rank")]
+    return mixed.select(*[F.col(name[c]).alias(c) for c in docs.columns if c not in ADDED], *[c.alias(a) for c, a in zip(added, ADDED)])
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per copy that the mix takes, range-sorted by ``position``."""
-    copies = mixed.withColumn("position", F.explode("__positions"))
-    return copies.orderBy("position", "__target").drop("__size", "__source_size", "__target", "__copies", "__positions")
+    """One row per copy that the mix takes, range-sorted by ``position``, with its ``rank``.
+
+    The ranges are equal parts of [0, 1], which demand fills about evenly, so
+    no row is read to find them.  Columns of the input named ``position`` or
+    ``rank`` are replaced.
+    """
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [c for c in mixed.columns if c not in (*ADDED, "position", "rank")]
+    copies = mixed.select(*kept, F.explode(F.arrays_zip("__positions", "__ranks")).alias("__copy"))
+    copies = copies.select(*kept, F.col("__copy.__positions").alias("position"), F.col("__copy.__ranks").alias("rank"))
+    ranged = copies.repartitionById(parts, F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int"))
+    return ranged.sortWithinPartitions("rank")

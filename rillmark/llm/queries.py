@@ -80,6 +80,7 @@ def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"),
+        *[F.get(c, F.lit(k)).alias(f"{n}_{k + 1}") for c, n in (("__positions", "position"), ("__ranks", "rank")) for k in range(2)],
     )
 
 
@@ -153,13 +154,20 @@ spare as (select *, 1.5::double * sum(source_size) over () as total,
     coalesce(sum(bound) over (order by bound / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as bound_before,
     sum(weight) over (order by bound / weight, source nulls last rows between current row and unbounded following) as weight_from from bounded),
 leveled as (select *, (total - bound_before) / weight_from::double as level from spare),
-targets as (select source, source_size, least(bound, coalesce(weight * max(case when weight * level <= bound then level end) over (), bound)) as target from leveled),
-placed as (select doc_id, s.source, size, source_size, target,
-    coalesce(sum(size) over (partition by s.source order by bucket, doc_id rows between unbounded preceding and 1 preceding), 0) + size / 2.0::double as mid
-    from sized s join targets t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target::double as target,
-    case when size = 0 then 0 else size * ((mid <= target)::int + (mid + source_size <= target)::int) end::bigint as taken
-from placed
+targets as (select source, source_size, least(bound, coalesce(weight * max(case when weight * level <= bound then level end) over (), bound))::double as target,
+    row_number() over (order by source nulls last) as number from leveled),
+placed as (select doc_id, number, size, source_size, target, row_number() over () as r, [1.5, 0.5, 1.0][((number - 1) % 3 + 1)::int]::double as a, [0.5, 1.5, 1.0][((number - 1) % 3 + 1)::int]::double as b,
+    coalesce(sum(size) over (partition by s.source order by bucket, doc_id::varchar rows between unbounded preceding and 1 preceding), 0)::bigint as before
+    from sized s join targets t on s.source is not distinct from t.source),
+copies as (select *, (before + k * source_size)::double + size::double / 2.0::double as middle from placed, (values (0), (1)) copy(k)
+    where size > 0 and (before + k * source_size)::double + size::double / 2.0::double <= target),
+parted as (select *, (middle / target) * (a + b) / 2.0::double as area from copies),
+timed as (select *, 2.0::double * area / (a + sqrt(greatest(a * a + 2.0::double * (b - a) * area, 0.0::double))) as position from parted),
+ranked as (select *, row_number() over (order by position, number, middle) - 1 as rank from timed)
+select p.doc_id, p.size, p.source_size, p.target, p.size * count(t.r) as taken,
+    max(case when k = 0 then position end) as position_1, max(case when k = 1 then position end) as position_2,
+    max(case when k = 0 then rank end) as rank_1, max(case when k = 1 then rank end) as rank_2
+from placed p left join ranked t using (r) group by p.r, p.doc_id, p.size, p.source_size, p.target
 """,
         "op10_warc": """
 with sized as (select page_id, coalesce(html, '') as html from pages),

@@ -48,7 +48,11 @@ def test_taken_words_are_near_targets_and_reruns_agree(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, plan long")
     mixed = mixing.curriculum(df.repartition(5))
     got = mixed.collect()
-    assert len(got) == len(rows) and mixed.columns[:4] == df.columns
+    assert mixed.columns[:4] == df.columns and sorted((tuple(r[:4]) for r in got), key=repr) == sorted(rows, key=repr)
+    # ranks are the order by position, each once
+    copies = sorted((t, n) for r in got for t, n in zip(r["__positions"], r["__ranks"]))
+    assert [n for _, n in copies] != [] and sorted(n for _, n in copies) == list(range(len(copies)))
+    assert all(a[0] == b[0] or a[1] < b[1] for a, b in zip(copies, copies[1:]))
     sizes: dict = {}
     for _, text, source, _ in rows:
         sizes[source] = sizes.get(source, 0) + len((text or "").split())
@@ -71,8 +75,24 @@ def test_positions_invert_the_cumulative_demand(spark):
         own = sorted(t for r in rows if r.source == f"s{n}" for t in r["__positions"])
         for t, part in ((own[len(own) // 4], 0.25), (own[len(own) // 2], 0.5)):
             assert (a * t + (b - a) * t * t / 2) / ((a + b) / 2) == pytest.approx(part, abs=0.01)
-    order = mixing.training_order(mixing.curriculum(df)).select("doc_id").collect()
-    assert len(order) == sum(r["__copies"] for r in rows)
+    order = mixing.training_order(mixing.curriculum(df)).collect()
+    assert [r["rank"] for r in order] == list(range(sum(r["__copies"] for r in rows)))
+    assert [r.position for r in order] == sorted(t for r in rows for t in r["__positions"])
+
+
+def test_ranks_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_COPIES", 37)
+    df = spark.createDataFrame([(i, "w " * (i % 7 + 1), f"s{i % 4}") for i in range(500)], "doc_id long, text string, source string")
+    rows = mixing.curriculum(df).collect()
+    copies = sorted(zip([t for r in rows for t in r["__positions"]], [n for r in rows for n in r["__ranks"]]))
+    assert sorted(n for _, n in copies) == list(range(len(copies)))
+    assert all(a[0] == b[0] or a[1] < b[1] for a, b in zip(copies, copies[1:]))
+
+
+def test_other_schedules_give_another_order(spark):
+    df = spark.createDataFrame([(i, "w " * 10, f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    order = [[r.doc_id for r in mixing.training_order(mixing.curriculum(df, ramps=ramps)).collect()] for ramps in (((1.5, 0.5), (0.5, 1.5)), ((0.1, 9.0),))]
+    assert sorted(order[0]) == sorted(order[1]) and order[0] != order[1]
 
 
 def test_empty_table(spark):
