@@ -23,9 +23,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .blocks import chunk_pairs, components_of, whole_units
 from .components import connected_components
@@ -116,29 +116,37 @@ def _cross_links(part: np.ndarray, sets: list[np.ndarray], similarity: float) ->
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``component_id`` (smallest id of its group) of every row of ``docs``.
-
-    Texts with equal words are always in one group; others are linked by a
-    Jaccard similarity of at least ``similarity`` of their sets of word
-    shingles.  Texts without words (null, empty, blank) form one group.  A null
-    id is kept and takes its group's smallest id, null if there is none.  Rows
-    that repeat an id are one node.  An empty table gives an empty result.
+    """``id_col``, ``text_key``, ``group`` and ``component_id`` of every row of ``docs``.
+
+    Texts with equal sets of word shingles are always in one group; others are
+    linked by a Jaccard similarity of at least ``similarity`` of these sets.
+    Texts without words (null, empty, blank) form one group.  ``group`` is a
+    number of the group, ``component_id`` its smallest id, null if it has none;
+    ``text_key`` is the hexadecimal MD5 of the text (null: of the empty text),
+    which tells rows of one id apart.  Every row is compared by its text,
+    whatever its id.  Other columns are ignored.  An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
-            made = [wide_fingerprint(h) for h in hashes]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.binary()), pa.array([len(h) for h in hashes], pa.int64())], names=["id", "print", "size"]
-            )
-
-    printed = materialise(rows.mapInArrow(prints, "id long, print binary, size long"), "prints")
-    # equal sets of shingles have equal fingerprints; unequal ones with equal fingerprints are told apart below
-    classes = materialise(printed.groupBy("print", "size").agg(F.min("id").alias("node")), "classes")
-    named = classes.filter("node is not null")
+            columns = [
+                batch.column(0),
+                batch.column(2),
+                pa.array([xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary()),
+                pa.array([wide_fingerprint(h) for h in hashes], pa.binary()),
+                pa.array([len(h) for h in hashes], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "set", "print", "size"])
+
+    printed = materialise(rows.mapInArrow(prints, "id long, text_key string, set binary, print binary, size long"), "prints")
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key"))
+    named = printed.groupBy("set").agg(F.first("print").alias("print"), F.first("size").alias("size"), least.alias("least"))
+    # the numbers are fixed once the table is written
+    classes = materialise(named.withColumn("node", F.monotonically_increasing_id()), "classes")
     bits, tables, most = plan(classes.count(), similarity)
     per_round = BITS // bits
 
@@ -153,9 +161,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
             node = np.repeat(np.asarray(batch.column(1)), tables)
             yield pa.RecordBatch.from_arrays([pa.array(tab), pa.array(keys.reshape(-1)), pa.array(node)], names=["tab", "key", "node"])
 
-    keyed = named.filter("size > 0").select("print", "node").mapInArrow(blocks, "tab int, key long, node long")
+    keyed = classes.filter("size > 0").select("print", "node").mapInArrow(blocks, "tab int, key long, node long")
     unit = ["tab", "key", "ci", "cj"]
-    dealt = chunk_pairs(keyed, CHUNK_ROWS, "node").join(named.filter("size > 0").select("node", "print", "size"), "node")
+    dealt = chunk_pairs(keyed, CHUNK_ROWS, "node").join(classes.select("node", "print", "size"), "node")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.select(*unit, "node", "size", "print").repartition(partitions, *unit).sortWithinPartitions(*unit, "node")
 
@@ -187,7 +195,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
     pairs = materialise(dealt.mapInArrow(compare, "a long, b long").filter("a <> b").distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = rows.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    # a text of each class that has a pair: that of its least row
+    wanted = classes.join(ends, classes["node"] == ends["id"]).select(
+        F.col("node"), F.col("least.id").alias("least_id"), F.col("least.text_key").alias("least_key")
+    )
+    same = rows["id"].eqNullSafe(wanted["least_id"]) & (rows["text_key"] == wanted["least_key"])
+    texts = rows.join(wanted, same).groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,10 +226,32 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
         found = found.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select(
             "node", F.coalesce("whole", "component").alias("component")
         )
-    labelled = classes.join(found, classes["node"] == found["node"], "left").select(
-        "print", "size", F.coalesce("component", classes["node"]).alias("component_id")
-    )
-    return printed.join(labelled, ["print", "size"]).select(F.col("id").alias(id_col), "component_id")
+    grouped = classes.join(found, classes["node"] == found["node"], "left").select("set", "least", F.coalesce("component", classes["node"]).alias("group"))
+    smallest = grouped.groupBy("group").agg(F.min("least.id").alias("component_id"))
+    labelled = grouped.join(smallest, "group").select("set", "group", "component_id")
+    return printed.join(labelled, "set").select(F.col("id").alias(id_col), "text_key", "group", "component_id")
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
+
+    Rows without an id come last, rows of one id by their ``text_key``; of rows
+    alike in both the one stays whose columns, written as JSON, have the least
+    MD5.  All columns are kept, whatever their names and types.  An empty
+    table gives an empty result.
+    """
+    groups = near_duplicates(docs, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col)
+    order = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "text_key"))
+    winners = groups.groupBy("group").agg(order.alias("least")).select(F.col("least.id").alias("least_id"), F.col("least.text_key").alias("least_key"))
+    # columns travel in one struct, so that no name clashes
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.struct("*").alias("row"))
+    kept = rows.join(winners, rows["id"].eqNullSafe(winners["least_id"]) & (rows["key"] == winners["least_key"]), "left_semi")
+    one = kept.groupBy("id", "key").agg(F.min_by("row", F.md5(F.to_json("row").cast("binary"))).alias("row"))
+    return one.select("row.*")
 
 
 def _links_across_parts(failed: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:

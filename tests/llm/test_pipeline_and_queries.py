@@ -74,11 +74,24 @@ def test_stages_against_brute_force(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == {i: n for i, n in copies.items() if n}
 
+    order = [r.doc_id for r in mixing.training_order(mixing.curriculum(spark.createDataFrame(before, docs_schema(spark)))).collect()]
+
     before, after = steps["byte_level_bpe"]
+    assert [r.doc_id for r in sorted(after, key=lambda r: (r.part, r.place))] == order
     assert sorted((r.doc_id, r.source) for r in after) == sorted((r.doc_id, r.source) for r in before)
     assert all(r.n_tokens == len(r.ids) for r in after)
 
 
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    schema = "doc_id long, text string, tags map<string,int>, group int, row string"
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, {"a": 1}, 1, "x"), (1, "other words here now again", None, 2, None), (None, long + " w60", {}, 3, "y"), (None, "quite unlike all of these others", {"b": 2}, 4, "z")]
+    rows += [(4, long, {"a": 2}, 5, "r"), (1, long, {"a": 1}, 1, "x")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF_DIR)
+    assert kept.columns == ["doc_id", "text", "tags", "group", "row"]
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
+
+
 def docs_schema(spark):
     return queries.table(spark, SF_DIR, "documents").schema
 

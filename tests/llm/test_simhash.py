@@ -112,6 +112,13 @@ def test_spanning_forest_has_least_distances():
         assert (blocks.components_of(30, left[some], right[some]) == whole).all()
 
 
+def test_a_null_id_links_and_joins_groups(spark):
+    rows = [(9, 0b0), (None, 0b1111), (7, 0b11111111), (None, -1), (3, 0b0)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint long")
+    got = sorted(((r.fingerprint, r.component_id) for r in simhash.hamming_components(df, distance=4).collect()), key=repr)
+    assert got == sorted([(0, 3), (0, 3), (15, 3), (255, 3), (-1, None)], key=repr)
+
+
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, simhash_similarity.near_duplicates])
 def test_empty_nulls_and_clashing_columns(spark, operator):
     schema = "doc_id long, text string, node long, component_id string, fingerprint int"
