@@ -7,6 +7,7 @@ stage before it kept.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five words, similarity 0.8).
-
-    Of rows that repeat that id the least one stays; rows without an id can't
-    be told apart and stay.
-    """
-    groups = simhash_similarity.near_duplicates(docs, shingle=5, similarity=0.8)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return named.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicates (five words, similarity 0.8): that with the smallest id."""
+    return simhash_similarity.keep_one_of_each(docs, shingle=5, similarity=0.8).select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +36,28 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the curriculum takes, as often as it takes them, in training order."""
+    """The documents that the curriculum takes, as often as it takes them, range-sorted in training order.
+
+    The stage's columns are those of ``documents``, so the order is that of the
+    files that it is written to and of the rows in them.
+    """
     return mixing.training_order(mixing.curriculum(docs)).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the ids and of the bytes they decode to."""
-    encoded = bpe.encode_decode(docs, *vocabulary(), keep=("lang", "source"))
-    return bpe.token_digests(encoded, "doc_id", "lang", "source", "ids")
+    """Token ids of every document, with the digests of the ids and of the bytes they decode to.
+
+    ``part`` and ``place`` are the training order: the number of the file that
+    the row came from and the row's place in it.  Both are null where ``docs``
+    is not read from files.
+    """
+    try:
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+        ordered = docs.select("*", part.alias("part"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        ordered = docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("part", "place")])
+    encoded = bpe.encode_decode(ordered, *vocabulary(), keep=("part", "place", "lang", "source"))
+    return bpe.token_digests(encoded, "doc_id", "part", "place", "lang", "source", "ids")
 
 
 STAGES = [
