@@ -120,7 +120,9 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEYWORDS_SQL = r"select item_id, array_to_string(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}+#-]+'), lambda w: length(w) > 1 and w not in ('the', 'of', 'and', 'de')), 1, 6), ' ') as keywords from benchmark"
 
-CLASSES = {"german": ("(?i)\\bund\\b", "(?i)\\bder\\b", "ß"), "english": ("(?i)\\band\\b", "(?i)\\bthe\\b"), "license": ("(?i)licen[cs]e", "(?i)apache")}
+#: Word boundaries are written out: engines differ in what \b takes for a letter.
+_ALONE = r"(?i)(^|[^\p{L}\p{N}_])%s([^\p{L}\p{N}_]|$)"
+CLASSES = {"german": (_ALONE % "und", _ALONE % "der", "ß"), "english": (_ALONE % "and", _ALONE % "the"), "license": ("(?i)licen[cs]e", "(?i)apache")}
 RULES = (("licensed under", "under"), ("the ", "a "), ("[0-9]{3,}", "#"))
 
 
