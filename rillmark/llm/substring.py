@@ -13,10 +13,13 @@ documents of the matched blocks, aligned to the first occurrence of each.
 
 Everything moves as packed arrays, combined per block first: a passage that a
 third of all documents share is one entry per block, not one per document.
+Texts are shuffled once, into a table bucketed by block; later steps and later
+batches bring fingerprints to the texts' buckets, never the texts to them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -109,12 +112,15 @@ def _read_run(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class SubstringIndex:
     """The index: runs under ``path`` (a folder all executors reach) and the documents they are of."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 20, gram: int = 6):
+    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 20, gram: int = 6, expected_bytes: int = 0):
         self.spark, self.path = spark, path or new_path(spark, "substrings")
         self.window, self.gram = window, gram
         self.runs: list[str] = []
-        self.batches: list[DataFrame] = []
-        self.buckets = 0
+        self.superseded: list[str] = []
+        self.tables: list[str] = []
+        self.batches, self.written = 0, 0
+        #: Bytes of text that the index holds, or is said to hold later, and the buckets for them.
+        self.bytes, self.expected, self.buckets = 0, expected_bytes, 0
 
     # -- steps ---------------------------------------------------------------
 
@@ -141,7 +147,8 @@ class SubstringIndex:
 
     def _write_run(self, rows: DataFrame) -> str:
         """One sorted row per bucket."""
-        buckets, path = self.buckets, f"{self.path}/run-{len(self.runs):05d}-{len(self.batches)}"
+        buckets, path = self.buckets, f"{self.path}/run-{self.written:05d}"
+        self.written += 1
 
         def merge(table: pa.Table) -> pa.Table:
             parts = [_read_run(x.as_py()) for x in table["fingerprints"]]
@@ -308,33 +315,76 @@ class SubstringIndex:
         ignored, and an empty batch gives an empty result.
         """
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = self.buckets or max(parts, -(-size // BUCKET_BYTES))
-        generation = len(self.batches)
+        self.bytes += size
+        if self._wanted() > 2 * self.buckets:
+            self._rebucket()
+        generation = self.batches
+        self.batches += 1
+        new_from = generation * _GENERATION
         blocks = max(1, -(-size // BLOCK_BYTES))
-        number = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)) + F.lit(generation * _GENERATION)
+        number = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)) + F.lit(new_from)
         blocked = docs.select(
             number.cast("long").alias("block"),
             F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
             *[F.col(c).alias(f"carried_{c}") for c in carry],
         )
-        texts = blocked.select("block", "id", "text")
-        self.runs.append(self._write_run(self._anchors(texts)))
-        self.batches.append(texts)
-        new_from = generation * _GENERATION
-        history = reduce(DataFrame.unionByName, self.batches)
-        windows = self._windows(self._packed(history), self._routes(new_from))
-        return self._kept(self._packed(blocked), self._repeats(windows, new_from), blocked.schema.fields[3:])
+        self.runs.append(self._write_run(self._anchors(blocked.select("block", "id", "text"))))
+        self._store(self._packed(blocked))
+        # the table grows with later batches; these read what it holds now
+        held = self.spark.table(self.tables[-1]).filter(F.col("block") < new_from + _GENERATION)
+        windows = self._windows(held, self._routes(new_from))
+        return self._kept(held.filter(F.col("block") >= new_from), self._repeats(windows, new_from), blocked.schema.fields[3:])
 
     def compact(self) -> None:
-        """Merge all runs to one; what later batches find stays the same."""
+        """Merge all runs to one; what later batches find stays the same.
+
+        The runs it replaces stay readable, for results that are not read yet,
+        until ``vacuum``.
+        """
         if len(self.runs) > 1:
-            old = self.runs
-            merged = self._write_run(self.spark.read.schema(_ddl(RUN)).parquet(*old))
+            merged = self._write_run(self.spark.read.schema(_ddl(RUN)).parquet(*self.runs))
+            self.superseded += self.runs
             self.runs = [merged]
-            for path in old:
-                remove(self.spark, path)
+
+    def vacuum(self) -> None:
+        """Delete what compaction replaced, once all results so far have been read."""
+        for path in self.superseded:
+            remove(self.spark, path)
+        for table in self.tables[:-1]:
+            self.spark.sql(f"drop table {table}")
+        self.superseded, self.tables = [], self.tables[-1:]
+
+    def _wanted(self) -> int:
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(parts, -(-max(self.bytes, self.expected) // BUCKET_BYTES))
+
+    def _store(self, packed: DataFrame) -> None:
+        if not self.tables:
+            self.tables.append(f"rillmark_texts_{uuid.uuid4().hex}")
+        name = self.tables[-1]
+        out = packed.repartition(self.buckets, "block").write.mode("append").format("parquet").option("compression", "none")
+        out.option("path", f"{self.path}/{name}").bucketBy(self.buckets, "block").saveAsTable(name)
+
+    def _rebucket(self) -> None:
+        """More buckets, once the texts have more than doubled: all runs and texts are dealt anew."""
+        self.buckets = self._wanted()
+        if self.runs:
+            buckets = self.buckets
+
+            def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for blob in batch.column(1):
+                        f, b, often = _read_run(blob.as_py())
+                        doubled = [np.concatenate([x, x[often]]) for x in (f, b)]
+                        yield from _table(RUN, list(_run_rows([doubled[0]], [doubled[1]], buckets))).to_batches()
+
+            self.superseded += self.runs
+            self.runs = [self._write_run(self.spark.read.schema(_ddl(RUN)).parquet(*self.runs).mapInArrow(split, _ddl(RUN)))]
+        if self.tables:
+            held = self.spark.table(self.tables[-1])
+            self.tables.append(f"rillmark_texts_{uuid.uuid4().hex}")
+            self._store(held)
 
 
 def _in_order(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,14 +405,21 @@ def _documents(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str], pa.T
     return ids, np.arange(len(ids)) - group, [words[i] for i in order], extra
 
 
-def deduplicate(docs: DataFrame, *, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Deduplicate one table through a new index, in ``batches`` by ascending id (see SubstringIndex.add)."""
-    index = SubstringIndex(docs.sparkSession, window=window)
+def deduplicate(docs: DataFrame, *, window: int = 20, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Deduplicate one table through a new index, in ``batches`` by ascending id, with the runs compacted between them.
+
+    Columns, nulls, repeats and empty tables as in SubstringIndex.add; rows
+    without an id come last, with the last batch.
+    """
     name = F.col(id_col).cast("long")
-    cuts = docs.select(F.percentile_approx(name, [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
-    bounds = sorted(set(cuts or []))
+    size = F.sum(F.octet_length(text_col))
+    cuts = [i / batches for i in range(1, batches)]
+    found = docs.select(size.alias("size"), *([F.percentile_approx(name, cuts, 10_000).alias("cuts")] if cuts else [])).first()
+    index = SubstringIndex(docs.sparkSession, window=window, expected_bytes=found["size"] or 0)
+    bounds = sorted(set((found["cuts"] if cuts else None) or []))
     out = []
     for low, high in zip([None, *bounds], [*bounds, None]):
+        index.compact()
         part = F.lit(True) if low is None else name > low
         part = part & (name <= high) if high is not None else part | name.isNull()
         out.append(index.add(docs.filter(part), id_col=id_col, text_col=text_col, carry=carry))

@@ -61,6 +61,30 @@ def test_later_batches_see_compacted_history(spark, rows):
         assert got == want
         index.compact()
         assert len(index.runs) == 1
+        index.vacuum()
+
+
+def test_texts_are_dealt_to_more_buckets_as_they_grow(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 600)
+    parts = [rows[:10], rows[10:40], rows[40:]]
+    index, buckets = substring.SubstringIndex(spark, window=8), []
+    for n, part in enumerate(parts):
+        done = [r for p in parts[:n] for r in order(p)]
+        found = index.add(spark.createDataFrame(part, "doc_id long, text string"))
+        buckets.append(index.buckets)
+        want = brute(done + order(part), 8)
+        for row in brute(done, 8):
+            want.remove(row)
+        assert collect(found) == want
+    assert buckets[0] < buckets[-1]
+
+
+def test_history_is_not_shuffled_again(spark, rows):
+    index = substring.SubstringIndex(spark, window=8)
+    index.add(spark.createDataFrame(rows[:60], "doc_id long, text string"))
+    plan = index.add(spark.createDataFrame(rows[60:], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Bucketed: true" in line or "SelectedBucketsCount" in line]
+    assert len(scans) == 2, plan
 
 
 def test_long_documents_go_through_pieces(spark, rows, monkeypatch):
