@@ -35,8 +35,8 @@ SHARD_ROWS, SPREAD, FEWEST = 16_384, 64, 512
 class Forest:
     """Sorted hash strings of one shard's vectors of one length."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, seed: int):
-        self.ids, self.rows, self.norms = ids, rows, norms(rows)
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, seed: int):
+        self.keys, self.ids, self.rows, self.norms = keys, ids, rows, norms(rows)
         self.planes = np.random.default_rng([seed, rows.shape[1]]).standard_normal((rows.shape[1], TREES * DEPTH))
         strings = self.strings(rows)
         self.order = np.argsort(strings, axis=0, kind="stable").T.copy()
@@ -54,7 +54,7 @@ class Forest:
         return tuple(np.stack([np.searchsorted(self.sorted[t], x[:, t]) for t in range(TREES)]) for x in (low, high))
 
     def search(self, queries: np.ndarray, skip: np.ndarray, k: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and cosines of the k best candidates of every query; rows with the query's id are left out."""
+        """Ids and cosines of the k best candidates of every query, without the row that has the query's key."""
         enough = max(k + 1, int(np.ceil(share * len(self.ids))))
         strings, query_norms = self.strings(queries), norms(queries)
         ranges = [self.ranges(strings, level) for level in range(DEPTH + 1)]
@@ -68,7 +68,7 @@ class Forest:
                     seen[self.order[t, low[t] : high[t]]] = True
                 if np.count_nonzero(seen) >= enough or level == 0:
                     break
-            seen &= self.ids != skip[q]
+            seen &= self.keys != skip[q]
             at = np.flatnonzero(seen)
             score = cosines(self.rows[at], self.norms[at], queries[q], query_norms[q])
             best = np.lexsort((self.ids[at], -score))[:k]
@@ -91,8 +91,10 @@ def nearest(
     first, ties to the smaller id; fewer rows if there are fewer candidates.
     Vectors that are null, empty, zero or hold null or non-finite components
     take no part, nor do rows with a null id; vectors of another length are no
-    candidates.  Rows with the query's own id are left out; a query id that
-    repeats is answered once, by its first vector.  An empty table gives none.
+    candidates.  Rows are told apart by a number of their own, not by their
+    ids: of rows that repeat an id each is a query and each is a candidate for
+    the others, so a query id that repeats has every rank as often.  Other
+    columns are ignored.  An empty table gives none.
     """
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     dtype = element_type(rows.schema["v"].dataType)
@@ -102,43 +104,46 @@ def nearest(
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vector_bytes(batch.column(1), dtype), pa.binary()), batch.column(2)], names=["vec_id", "v", "q"])
 
-    good = materialise(rows.filter("vec_id is not null").mapInArrow(read, "vec_id long, v binary, q boolean").filter("v is not null"), "vectors")
+    good = rows.filter("vec_id is not null").mapInArrow(read, "vec_id long, v binary, q boolean").filter("v is not null")
+    # the numbers of the rows are fixed once the table is written
+    good = materialise(good.withColumn("row", F.monotonically_increasing_id()), "vectors")
     count = good.count()
     shards = max(1, -(-count // SHARD_ROWS), min(SPREAD, count // FEWEST))
-    indexed = good.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = good.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
+    indexed = good.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "row", "vec_id", "v")
+    asked = good.filter("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "row", "vec_id", "v")
     partitions = max(1, int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     stream = indexed.unionByName(asked).repartition(partitions, "shard").sortWithinPartitions("shard", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, blobs, forests = None, [], [], None
+        now, keys, ids, blobs, forests = None, [], [], [], None
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            shard, kind, vec = (np.asarray(batch.column(i)) for i in range(3))
+            shard, kind, row, vec = (np.asarray(batch.column(i)) for i in range(4))
             cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
                 if lo == hi:
                     continue
-                own = batch.column(3).slice(lo, hi - lo).to_pylist()
+                own = batch.column(4).slice(lo, hi - lo).to_pylist()
                 if shard[lo] != now:
-                    now, ids, blobs, forests = shard[lo], [], [], None
+                    now, keys, ids, blobs, forests = shard[lo], [], [], [], None
                 if kind[lo] == 0:
+                    keys.append(row[lo:hi])
                     ids.append(vec[lo:hi])
                     blobs += own
                     continue
                 if forests is None:
-                    forests = _forests(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64), blobs, dtype, width, seed)
+                    forests = _forests(*(np.concatenate(x) if x else none for x in (keys, ids)), blobs, dtype, width, seed)
                 out = []
                 for size, at in _by_size(own, width):
                     if size in forests:
                         queries = matrix([own[i] for i in at], dtype)
-                        for i, (found, score) in zip(at, forests[size].search(queries, vec[lo + at], k, share)):
-                            out.append((np.full(len(found), vec[lo + i]), found, score))
+                        for i, (found, score) in zip(at, forests[size].search(queries, row[lo + at], k, share)):
+                            out.append((np.full(len(found), row[lo + i]), np.full(len(found), vec[lo + i]), found, score))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query", "query_id", "vec_id", "score"])
 
-    found = stream.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = stream.mapInArrow(search, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -148,5 +153,5 @@ def _by_size(blobs: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]
         yield size, np.flatnonzero(sizes == size)
 
 
-def _forests(ids: np.ndarray, blobs: list[bytes], dtype: str, width: int, seed: int) -> dict[int, Forest]:
-    return {size: Forest(ids[at], matrix([blobs[i] for i in at], dtype), seed) for size, at in _by_size(blobs, width)}
+def _forests(keys: np.ndarray, ids: np.ndarray, blobs: list[bytes], dtype: str, width: int, seed: int) -> dict[int, Forest]:
+    return {size: Forest(keys[at], ids[at], matrix([blobs[i] for i in at], dtype), seed) for size, at in _by_size(blobs, width)}

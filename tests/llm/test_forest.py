@@ -33,6 +33,12 @@ def test_all_candidates_are_exact_with_ties_and_bad_vectors(spark):
     assert [(x["rank"], x.vec_id) for x in few] == [(1, 1), (2, 2)]
 
 
+def test_rows_that_repeat_an_id_are_queries_and_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (7, [0.0, 1.0])]
+    got = sorted((x.query_id, x["rank"], x.vec_id) for x in ask(spark, rows))
+    assert got == [(0, 1, 0), (0, 1, 0), (0, 2, 7), (0, 2, 7)]
+
+
 def test_recall_on_the_table(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = queries.op9_hash_forest(spark, sf_dir).collect()
