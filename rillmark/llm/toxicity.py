@@ -8,7 +8,9 @@ letters of longer words, hashed to 64 bits, each counted once per text.
 Training takes a bounded sample of labelled rows; terms are screened by how
 much they tell about the label (likelihood ratio against what chance gives the
 best of as many terms), which keeps the model small and long texts from
-adding up noise.  Scoring reads every whole text once, without a shuffle.
+adding up noise.  A second screen looks at pairs: a term that tells nothing
+alone is taken if it tells among the rows of a term that speaks for the label.
+Scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,10 @@ from .storage import materialise
 _WORD = re.compile(r"\w+")
 #: Lengths of the opening letters that are terms of their own.
 OPENINGS = (4, 5, 6)
-#: Most labelled rows that training takes (those with the least hash of their id), and most terms of a model.
-TRAIN_ROWS, MODEL_TERMS = 40_000, 100_000
+#: Most labelled rows that training takes (those with the least hash of their id); they bound the terms of a model.
+TRAIN_ROWS = 40_000
+#: Rows of pair counts.
+PAIR = np.dtype([("strong", np.int64), ("term", np.uint64), ("total", np.int64), ("positive", np.int64)])
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 256, 0.1, 1e-4
 
 
@@ -109,8 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Learns from at most TRAIN_ROWS labelled ids that aren't held out, those with
     the least hash.  An id with several labels takes the largest, null labels
-    and null ids are left out.  Without labelled rows the model knows no term
-    and scores everything alike.
+    and null ids are left out; rows of ``docs`` that repeat an id each count.
+    A null text has no terms.  Without labelled rows, or with an empty table,
+    the model knows no term and scores everything alike.  Other columns are
+    ignored.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     sample = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -148,11 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros((0, FACTORS)), -30.0 if whole is None or not whole.positive else 30.0)
     vocabulary = counts.count()
     statistic = _statistic(F.col("total").cast("double"), F.col("positive").cast("double"), whole.total, whole.positive)
-    chosen = (
-        counts.filter("total > 2 and term <> 0").withColumn("g", statistic).filter(F.col("g") > float(np.log(vocabulary)))
-        .orderBy(F.col("g").desc(), "term").limit(MODEL_TERMS).select("term").toPandas()["term"].to_numpy()
-    )
-    hashes = np.sort(chosen.astype(np.int64).view(np.uint64))
+    telling = counts.filter("total > 2 and term <> 0").withColumn("g", statistic).filter(F.col("g") > float(np.log(vocabulary)))
+    # distinct terms of at most TRAIN_ROWS texts
+    telling = telling.select("term", "total", "positive").toPandas()
+    alone = telling["term"].to_numpy(dtype=np.int64)
+    strong = telling[telling["positive"] * whole.total > telling["total"] * whole.positive]
+    chosen = np.union1d(alone, _beside(texts, strong)) if len(strong) else alone
+    hashes = np.sort(chosen.view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(Model(hashes, np.zeros(0), np.zeros((0, FACTORS)), 0.0))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,17 +174,74 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit(hashes, [np.frombuffer(x, dtype=np.int32) for x in rows["places"]], (rows["label"] > 0).to_numpy(dtype=np.float64))
 
 
-def _statistic(total: Column, positive: Column, rows: int, positives: int) -> Column:
+def _beside(texts: DataFrame, strong: pd.DataFrame) -> np.ndarray:
+    """Terms that tell about the label among the rows of one of the ``strong`` terms (term, total, positive)."""
+    names = np.sort(strong["term"].to_numpy(dtype=np.int64).view(np.uint64))
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(Model(names, np.zeros(0), np.zeros((0, FACTORS)), 0.0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows and positive rows of each pair of a strong term's place and a term in a task."""
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def sums() -> np.ndarray:
+            rows = np.concatenate(parts)
+            order = np.lexsort((rows["term"], rows["strong"]))
+            rows = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], (rows["term"][1:] != rows["term"][:-1]) | (rows["strong"][1:] != rows["strong"][:-1])]))
+            out = rows[first]
+            out["total"], out["positive"] = np.add.reduceat(rows["total"], first), np.add.reduceat(rows["positive"], first)
+            return out
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = terms(text.as_py())
+                at = shared.value.known(own)
+                if not len(at):
+                    continue
+                rows = np.empty(len(at) * len(own), dtype=PAIR)
+                rows["strong"], rows["term"], rows["total"], rows["positive"] = np.repeat(at, len(own)), np.tile(own, len(at)), 1, label > 0
+                parts.append(rows)
+                held += len(rows)
+                if held > 2_000_000:
+                    parts, held = [sums()], 0
+        if parts:
+            found = sums()
+            yield pa.RecordBatch.from_arrays([pa.array(found[n].view(np.int64)) for n in PAIR.names], names=list(PAIR.names))
+
+    pairs = texts.mapInArrow(count, "strong long, term long, total long, positive long").groupBy("strong", "term")
+    pairs = materialise(pairs.agg(F.sum("total").alias("total"), F.sum("positive").alias("positive")).filter("total > 2"), "pairs")
+    # one row per strong term, of which there are at most as many as terms in the sample
+    base = spark.createDataFrame(
+        [(int(np.searchsorted(names, np.uint64(t % (1 << 64)))), int(n), int(p)) for t, n, p in strong.itertuples(index=False)], "strong long, n long, p long"
+    )
+    among = pairs.join(base, "strong").filter("p > 0 and p < n")
+    g = _statistic(F.col("total").cast("double"), F.col("positive").cast("double"), F.col("n").cast("double"), F.col("p").cast("double"))
+    least = 2 * float(np.log(max(2, pairs.count())))
+    found = among.withColumn("g", g).filter(F.col("g") > least).select("term").distinct().toPandas()["term"].to_numpy(dtype=np.int64)
+    shared.destroy()
+    return found
+
+
+def _statistic(total: Column, positive: Column, rows: float | Column, positives: float | Column) -> Column:
     """Likelihood ratio of a term's rows and the rest against one common share of positives."""
     def part(a: Column, expected: Column) -> Column:
         return F.when(a > 0, a * F.log(a / expected)).otherwise(0.0)
 
-    base, rest, rest_positive = positives / rows, F.lit(float(rows)) - total, F.lit(float(positives)) - positive
+    if not isinstance(rows, Column):
+        rows, positives = F.lit(float(rows)), F.lit(float(positives))
+    base, rest, rest_positive = positives / rows, rows - total, positives - positive
     return 2 * (part(positive, total * base) + part(total - positive, total * (1 - base)) + part(rest_positive, rest * base) + part(rest - rest_positive, rest * (1 - base)))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Add ``out`` (0 to 1, higher: likelier toxic) to every row; a null or empty text gets the bias."""
+    """Add ``out`` (0 to 1, higher: likelier toxic) to every row.
+
+    A null or empty text gets the bias alone; repeated rows stay, each with its
+    score; a column of ``docs`` named ``out`` is replaced, all others are kept.
+    An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

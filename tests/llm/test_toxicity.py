@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from rillmark.llm import toxicity
 
@@ -72,3 +75,41 @@ def test_without_labels(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).first().score < 0.3
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_an_interaction_is_found_in_texts(spark):
+    """A term that tells nothing alone makes another's texts toxic."""
+    r = random.Random(11)
+    plain = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(3000):
+        words = r.choices(plain, k=r.randint(5, 25))
+        insult, group = i % 10 == 0, i % 20 == 0 or i % 10 in (1, 2, 3)
+        words += ["blarg"] * insult + ["zorp"] * group
+        r.shuffle(words)
+        # one in ten of the others keeps the mention as common among toxic rows as elsewhere
+        toxic = insult and group or (i % 10 == 4 and i % 30 == 4) or (i % 10 == 5 and i % 60 == 5)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    base = " ".join(plain[:10])
+    assert model.score(f"{base} blarg zorp") > 0.5 > model.score(f"{base} blarg") and model.score(f"{base} zorp") < 0.3
+
+
+def test_score_matches_brute_force(spark, trained):
+    _, _, model = trained
+    place = {int(h): i for i, h in enumerate(model.hashes)}
+
+    def slow(text):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        words |= {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
+        at = [place[h] for h in (xxhash.xxh64_intdigest(w) for w in words) if h in place]
+        raw = model.bias + sum(model.weight[i] for i in at)
+        raw += sum(float(model.factor[i] @ model.factor[j]) for n, i in enumerate(at) for j in at[:n])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))
+
+    texts = ["zugrobe and blarg", "word1 word2", None, "", "Zugroff! word3-word4 blarg BLARG", "zugronk " * 4000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got == {i: pytest.approx(slow(t), abs=1e-9) for i, t in enumerate(texts)}
