@@ -29,9 +29,9 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A single space between two characters that aren't white space always starts a pretoken.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries that a worker's memo holds before it starts anew; a bound on memory only.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 250_000
 #: Characters of text whose pretokens are replayed together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
