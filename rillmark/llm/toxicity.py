@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,10 @@ _WORD = re.compile(r"\w+")
 OPENINGS = (4, 5, 6)
 #: Most labelled rows that training takes (those with the least hash of their id); they bound the terms of a model.
 TRAIN_ROWS = 40_000
+#: A term speaks for the label if its likelihood ratio is this many times what chance gives and its rows have the label twice as often.
+STRONG = 4.0
+#: Entries that a task gathers before it adds them up; a bound on memory only.
+FLUSH = 300_000
 #: Rows of pair counts.
 PAIR = np.dtype([("strong", np.int64), ("term", np.uint64), ("total", np.int64), ("positive", np.int64)])
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 256, 0.1, 1e-4
@@ -142,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 seen.append(own)
                 hits.append(np.full(len(own), (1 << 32) + (label > 0), dtype=np.int64))
                 held += len(own)
-                if held > 2_000_000:
+                if held > FLUSH:
                     names, total, positive = sums()
                     seen, hits, held = [names], [(total.astype(np.int64) << 32) + positive.astype(np.int64)], 0
         if seen:
@@ -157,12 +160,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     statistic = _statistic(F.col("total").cast("double"), F.col("positive").cast("double"), whole.total, whole.positive)
     telling = counts.filter("total > 2 and term <> 0").withColumn("g", statistic).filter(F.col("g") > float(np.log(vocabulary)))
     # distinct terms of at most TRAIN_ROWS texts
-    telling = telling.select("term", "total", "positive").toPandas()
-    alone = telling["term"].to_numpy(dtype=np.int64)
-    strong = telling[telling["positive"] * whole.total > telling["total"] * whole.positive]
-    chosen = np.union1d(alone, _beside(texts, strong)) if len(strong) else alone
-    hashes = np.sort(chosen.view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(Model(hashes, np.zeros(0), np.zeros((0, FACTORS)), 0.0))
+    hashes = np.sort(telling.select("term").toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64))
+    rows, label = _places(texts, hashes)
+    strong = _speaking(rows, label, len(hashes), STRONG * float(np.log(vocabulary)))
+    total, positive = (np.bincount(np.concatenate(rows), np.repeat(x, [len(r) for r in rows]), len(hashes)) for x in (np.ones(len(rows)), label))
+    # where all rows of a term have the label there is nothing left to tell
+    strong = strong[(positive[strong] > 2) & (total[strong] - positive[strong] > 2)]
+    beside = _beside(texts, hashes[strong], total[strong], positive[strong]) if len(strong) else hashes[:0]
+    if len(np.setdiff1d(beside, hashes)):
+        hashes = np.union1d(hashes, beside)
+        rows, label = _places(texts, hashes)
+    return fit(hashes, rows, label)
+
+
+def _places(texts: DataFrame, hashes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of each sampled text's terms in the sorted ``hashes``, and its label, in an order that reruns agree on."""
+    shared = texts.sparkSession.sparkContext.broadcast(Model(hashes, np.zeros(0), np.zeros((0, FACTORS)), 0.0))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,13 +184,31 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     rows = texts.mapInArrow(places, "label int, places binary").toPandas().sort_values(["places", "label"])
     shared.destroy()
-    return fit(hashes, [np.frombuffer(x, dtype=np.int32) for x in rows["places"]], (rows["label"] > 0).to_numpy(dtype=np.float64))
-
-
-def _beside(texts: DataFrame, strong: pd.DataFrame) -> np.ndarray:
-    """Terms that tell about the label among the rows of one of the ``strong`` terms (term, total, positive)."""
-    names = np.sort(strong["term"].to_numpy(dtype=np.int64).view(np.uint64))
-    spark = texts.sparkSession
+    return [np.frombuffer(x, dtype=np.int32) for x in rows["places"]], (rows["label"] > 0).to_numpy(dtype=np.float64)
+
+
+def _speaking(rows: list[np.ndarray], label: np.ndarray, n: int, least: float) -> np.ndarray:
+    """Terms that speak for the label, one after the other, each judged on the rows that none before it is in."""
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    left, chosen = np.ones(len(rows), dtype=bool), []
+    while 0 < label[left].sum() < left.sum():
+        use = left[owner]
+        total, positive = np.bincount(flat[use], minlength=n), np.bincount(flat[use], label[owner[use]], n)
+        share, rest, rest_positive = label[left].mean(), left.sum() - total, label[left].sum() - positive
+        parts = ((positive, total * share), (total - positive, total * (1 - share)), (rest_positive, rest * share), (rest - rest_positive, rest * (1 - share)))
+        g = 2 * sum(a * np.log(np.where(a > 0, a, 1.0) / np.where(a > 0, expected, 1.0)) for a, expected in parts)
+        g[positive <= 2 * total * share] = 0
+        if not n or g.max() <= least:
+            break
+        chosen.append(int(g.argmax()))
+        left[owner[flat == chosen[-1]]] = False
+    return np.array(chosen, dtype=np.int64)
+
+
+def _beside(texts: DataFrame, strong: np.ndarray, total: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """Terms that tell about the label among the rows of one of the ``strong`` terms, which have these rows and positive rows."""
+    order = np.argsort(strong)
+    names, spark = strong[order], texts.sparkSession
     shared = spark.sparkContext.broadcast(Model(names, np.zeros(0), np.zeros((0, FACTORS)), 0.0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +218,8 @@ def _beside(texts: DataFrame, strong: pd.DataFrame) -> np.ndarray:
 
         def sums() -> np.ndarray:
             rows = np.concatenate(parts)
-            order = np.lexsort((rows["term"], rows["strong"]))
-            rows = rows[order]
+            # pairs in any order that brings equal ones together
+            rows = rows[np.argsort(rows["term"] ^ (rows["strong"].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))]
             first = np.flatnonzero(np.concatenate([[True], (rows["term"][1:] != rows["term"][:-1]) | (rows["strong"][1:] != rows["strong"][:-1])]))
             out = rows[first]
             out["total"], out["positive"] = np.add.reduceat(rows["total"], first), np.add.reduceat(rows["positive"], first)
@@ -204,22 +235,21 @@ def _beside(texts: DataFrame, strong: pd.DataFrame) -> np.ndarray:
                 rows["strong"], rows["term"], rows["total"], rows["positive"] = np.repeat(at, len(own)), np.tile(own, len(at)), 1, label > 0
                 parts.append(rows)
                 held += len(rows)
-                if held > 2_000_000:
-                    parts, held = [sums()], 0
+                if held > FLUSH:
+                    parts = [sums()]
+                    held = 0
         if parts:
             found = sums()
             yield pa.RecordBatch.from_arrays([pa.array(found[n].view(np.int64)) for n in PAIR.names], names=list(PAIR.names))
 
     pairs = texts.mapInArrow(count, "strong long, term long, total long, positive long").groupBy("strong", "term")
     pairs = materialise(pairs.agg(F.sum("total").alias("total"), F.sum("positive").alias("positive")).filter("total > 2"), "pairs")
-    # one row per strong term, of which there are at most as many as terms in the sample
-    base = spark.createDataFrame(
-        [(int(np.searchsorted(names, np.uint64(t % (1 << 64)))), int(n), int(p)) for t, n, p in strong.itertuples(index=False)], "strong long, n long, p long"
-    )
-    among = pairs.join(base, "strong").filter("p > 0 and p < n")
+    # one row per strong term, of which each is in sampled rows of its own
+    base = spark.createDataFrame([(i, int(total[k]), int(positive[k])) for i, k in enumerate(order)], "strong long, n long, p long")
+    among = pairs.join(base, "strong")
     g = _statistic(F.col("total").cast("double"), F.col("positive").cast("double"), F.col("n").cast("double"), F.col("p").cast("double"))
     least = 2 * float(np.log(max(2, pairs.count())))
-    found = among.withColumn("g", g).filter(F.col("g") > least).select("term").distinct().toPandas()["term"].to_numpy(dtype=np.int64)
+    found = among.withColumn("g", g).filter(F.col("g") > least).select("term").distinct().toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64)
     shared.destroy()
     return found
 
