@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .ranking import running_before
 from .storage import materialise
 
-#: Copies per bin of the range sort, about.
-BIN_COPIES = 1 << 16
+#: Copies per range of the sort, about, and the fewest ranges.
+BIN_COPIES, LEAST_BINS = 1 << 16, 1024
 #: Columns that a mix adds.
 ADDED = ("__size", "__source_size", "__target", "__copies", "__positions", "__ranks")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,7 +116,7 @@ def curriculum(
     row_key = F.xxhash64(name[text_col], name[source_col])
     slim = carried.select(row_id.alias("id"), row_key.alias("key"), F.col(name[source_col]).alias("source"), word_count(F.col(name[text_col])).alias("size"))
     slim = materialise(slim, "sizes")
-    bins = max(1, int(slim.count() * most) // BIN_COPIES)
+    bins = max(LEAST_BINS, int(slim.count() * most) // BIN_COPIES)
     plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
     ramp = F.element_at(
         F.array(*[F.struct(F.lit(start).alias("a"), F.lit(end).alias("b")) for start, end in ramps]),

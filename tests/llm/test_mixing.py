@@ -81,7 +81,7 @@ def test_positions_invert_the_cumulative_demand(spark):
 
 
 def test_ranks_over_several_ranges(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BIN_COPIES", 37)
+    monkeypatch.setattr(mixing, "LEAST_BINS", 7)
     df = spark.createDataFrame([(i, "w " * (i % 7 + 1), f"s{i % 4}") for i in range(500)], "doc_id long, text string, source string")
     rows = mixing.curriculum(df).collect()
     copies = sorted(zip([t for r in rows for t in r["__positions"]], [n for r in rows for n in r["__ranks"]]))
