@@ -16,19 +16,33 @@ from rillmark.llm.queries import TOXIC_FROM, table, vocabulary
 from rillmark.llm.storage import materialise
 
 
+#: Most rows of an Arrow batch in a stage that hands whole texts to Python; a bound on the memory of executors only.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, where they are more."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of ``labels`` scores below the limit."""
+    bound_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="__score").filter(F.col("__score") < TOXIC_FROM).drop("__score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five words, similarity 0.8): that with the smallest id."""
+    bound_batches(spark)
     return simhash_similarity.keep_one_of_each(docs, shingle=5, similarity=0.8).select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 20 words that stand earlier; a text that consists of such goes."""
+    bound_batches(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = substring.deduplicate(docs, window=20, carry=(*rest, "n_chars")).filter("n_removed = 0 or n_removed < n_words")
     length = F.when(F.col("n_removed") == 0, F.col("carried_n_chars")).otherwise(F.length("text").cast("long"))
@@ -51,6 +65,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the row came from and the row's place in it.  Both are null where ``docs``
     is not read from files.
     """
+    bound_batches(spark)
     try:
         part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
         ordered = docs.select("*", part.alias("part"), F.col("_metadata.row_index").alias("place"))
