@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import access, analytics, evaluation, functions, maintenance, search
+from . import access, analytics, evaluation, functions, maintenance, registry, search
 
-_MODULES = (search, evaluation, functions, access, maintenance, analytics)
+_MODULES = (search, evaluation, functions, access, maintenance, analytics, registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
