@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), *_ACCENTS)
 
 
+def fold_plain(phrase: str) -> str:
+    """Tokens of a phrase that is no column, folded and joined by single spaces."""
+    return " ".join(re.findall(r"[^\W_]+", phrase.lower().translate(str.maketrans(*_ACCENTS))))
+
+
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits; an empty array for a null text."""
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.array().cast("array<string>"))

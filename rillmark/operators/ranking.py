@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import name_tokens
+from ..functions.text import fold, name_tokens
 from .lexical import top_k
 
 #: Constant of reciprocal rank fusion.
@@ -102,28 +102,38 @@ def fuse(rankings: list[DataFrame], weights: list[float], *, k: int | None = Non
 
 # -- version families ------------------------------------------------------------
 
-#: Fixed patterns: markers at the end of a stem that tell versions, copies and states apart.
-MARKERS = (
-    r"[ _.-]*v\d+([._]\d+)*$",
-    r"[ _-]*\(\d+\)$",
-    r"[ _-]+(copia|copy|backup|bkp|old|antigo)$",
-    r"[ _-]+(final|rev|revisado|comentado|draft|rascunho|limpo)\d*$",
-)
-INITIALS = r"_[A-Z]{2,3}$"
-#: Rounds of stripping; a stem with more markers in a row keeps the first ones.
-ROUNDS = 6
+# What a file name may carry without being another document, each after any blanks, underscores and hyphens.
+#: State words and version numbers, which a word must end with.
+STATES = "final|finalizado|atualizado|comentado|revisado|revisada|apresentado|antigo|old|rev[0-9]*"
+VERSION = r"v[0-9]+(?:[._][0-9]+)*"
+#: Marks of copies, wherever they stand.
+COPIES = r"c[oó]pia(?:\s+de)?|copy(?:\s+of)?|bkp[0-9]*(?:[._][0-9]+)*"
+NUMBERED = r"\s*\([0-9]+\)"
+#: Initials of who revised it, in capitals at the end.
+INITIALS = "[ _-][A-Z]{2,3}$"
+SEPARATORS = "[ _.-]+"
+
+_MARKS = rf"[ _-]*(?:{VERSION}|{STATES})([^\p{{L}}\p{{N}}_]|$)|[ _-]*(?:{COPIES})|{NUMBERED}"
 
 
 def stem(path: Column) -> Column:
-    """File name without extension, with versions, copies, states and initials stripped until none is left."""
+    """File name without extension and without marks of versions, copies, states and initials, folded.
+
+    Marks stack, so what is left is stripped again until nothing changes; every
+    step shortens the name, so half its length is steps enough.  A name that
+    consists of marks stays whole.
+    """
     whole = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    out = whole
-    for _ in range(ROUNDS):
-        out = F.regexp_replace(out, INITIALS, "")
-        for pattern in MARKERS:
-            out = F.regexp_replace(out, f"(?i){pattern}", "")
-    out = F.trim(F.regexp_replace(F.lower(out), r"[ _.-]+", " "))
-    return F.when(out == "", F.lower(whole)).otherwise(out)
+    strip = lambda name: F.regexp_replace(F.regexp_replace(name, INITIALS, ""), f"(?iu){_MARKS}", "$1")
+    steps = F.sequence(F.lit(0), F.floor(F.length(whole) / 2).cast("int"))
+    start = F.struct(whole.alias("name"), F.lit(False).alias("done"))
+
+    def step(state: Column, _: Column) -> Column:
+        now = strip(state["name"])
+        return F.when(state["done"], state).otherwise(F.struct(now.alias("name"), (now == state["name"]).alias("done")))
+
+    bare = F.trim(F.regexp_replace(fold(F.aggregate(steps, start, step, lambda s: s["name"])), SEPARATORS, " "))
+    return F.when(bare == "", fold(whole)).otherwise(bare)
 
 
 def folder(path: Column) -> Column:
@@ -135,9 +145,10 @@ def extension(path: Column) -> Column:
 
 
 def version(path: Column) -> Column:
-    """Last version number in the stem as an array of numbers, else null."""
-    found = F.regexp_extract_all(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(r"(?i)[ _-]v(\d+(?:[._]\d+)*)"), F.lit(1))
-    last = F.when(F.size(found) > 0, F.element_at(found, -1))
+    """Last version number that the file name declares, as an array of numbers, else null."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    found = F.regexp_extract_all(name, F.lit(rf"(?iu)[ _-]({VERSION})(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+    last = F.when(F.size(found) > 0, F.substring(F.element_at(found, -1), 2, 1 << 30))
     return F.split(last, r"[._]").cast("array<int>")
 
 
@@ -151,7 +162,7 @@ def collapse_families(ranking: DataFrame) -> DataFrame:
     in several formats leave the best placed.  Adds ``position``, ``formats``
     and ``older`` (paths that lost, in order).
     """
-    rows = ranking.withColumn("family", F.concat_ws("::", folder(F.col("path")), extension(F.col("path")), stem(F.col("path")))).withColumn("v", version(F.col("path")))
+    rows = ranking.withColumn("family", F.concat_ws("::", fold(folder(F.col("path"))), fold(extension(F.col("path"))), stem(F.col("path")))).withColumn("v", version(F.col("path")))
     family = W.partitionBy("query_id", "family")
     rows = rows.withColumn("__versions", F.size(F.collect_set("v").over(family))).withColumn("__best", F.min("rank").over(family))
     declared = F.col("__versions") > 1
@@ -168,13 +179,20 @@ def collapse_families(ranking: DataFrame) -> DataFrame:
         F.max(F.when(F.col("__place") == 1, F.col("path"))).alias("path"),
         F.expr("transform(array_sort(collect_list(if(__place > 1, struct(__place, path), null))), x -> x.path)").alias("older"),
     )
-    group = W.partitionBy("query_id", F.concat_ws("::", folder(F.col("path")), stem(F.col("path"))))
+    group = W.partitionBy("query_id", F.concat_ws("::", fold(folder(F.col("path"))), stem(F.col("path"))))
     best = won.withColumn("__n", F.row_number().over(group.orderBy("position", "path"))).withColumn(
         "formats", F.sort_array(F.collect_set(extension(F.col("path"))).over(group))
     )
     return best.filter("__n = 1").select("query_id", "path", "position", "formats", "older")
 
 
+def newest_of_families(files: DataFrame) -> DataFrame:
+    """Of each family (folder, extension, stem) the newest file of ``files`` (path, mtime), then the greater path; versions in names don't count."""
+    family = [fold(folder(F.col("path"))), fold(extension(F.col("path"))), stem(F.col("path"))]
+    best = files.groupBy(*[c.alias(n) for c, n in zip(family, ("folder", "extension", "stem"))]).agg(F.max(F.struct("mtime", "path")).alias("best"))
+    return best.select(F.col("best.path").alias("path"), F.col("best.mtime").alias("mtime"))
+
+
 # -- context ----------------------------------------------------------------------
 
 

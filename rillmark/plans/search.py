@@ -133,6 +133,39 @@ formats as (select query_id, base, string_agg(ext, ',' order by ext) as formats
 select query_id, path, position, formats, older from grouped join formats using (query_id, base) where n = 1"""
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose names stack marks of copies, states, versions and initials."""
+    p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    pick = lambda d, *values: F.element_at(F.array(*map(F.lit, values)), (F.floor(n / d) % len(values) + 1).cast("int"))
+    name = F.concat(pick(1, "", "Cópia de ", "COPY OF "), F.lower(F.substring_index("p_name", " ", 1)), pick(3, "", "_v6_Comentado", " final", "_revisadaTI_GC", " apresentado_v3", "-bkp2.1", " (2)", "_de", " v2.1 FINAL (3)", "Final"), pick(30, "", "_GC", " rev2"))
+    return p.select(F.concat(F.lit("Área/"), name, pick(7, ".pdf", ".PDF", ".docx")).alias("path"), (n * 31 % 977).alias("mtime")).groupBy("path").agg(F.max("mtime").alias("mtime"))
+
+
+_FILES = """files as (select 'Área/' || ['', 'Cópia de ', 'COPY OF '][(p_partkey % 3 + 1)::int] || lower(split_part(p_name, ' ', 1)) || ['', '_v6_Comentado', ' final', '_revisadaTI_GC', ' apresentado_v3', '-bkp2.1', ' (2)', '_de', ' v2.1 FINAL (3)', 'Final'][(p_partkey // 3 % 10 + 1)::int]
+    || ['', '_GC', ' rev2'][(p_partkey // 30 % 3 + 1)::int] || ['.pdf', '.PDF', '.docx'][(p_partkey // 7 % 3 + 1)::int] as path, max(p_partkey * 31 % 977) as mtime from part group by 1)"""
+
+
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _files(spark, sf_dir).select("path", ranking.stem(p).alias("stem"), F.array_join(ranking.version(p).cast("array<string>"), ".").alias("version"))
+
+
+_STEMS = rf"""{_FILES}, bare as (select path, mtime, regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '') as whole from files),
+strips as (select path, whole as now, 0 as n, length(whole) // 2 + 1 as steps from bare union all
+  select path, regexp_replace(regexp_replace(now, '{ranking.INITIALS}', ''), '(?i){ranking._MARKS}', '\1', 'g'), n + 1, steps from strips where n < steps),
+lasts as (select path, trim(regexp_replace(strip_accents(lower(arg_max(now, n))), '{ranking.SEPARATORS}', ' ', 'g')) as bare from strips group by path),
+stems as (select path, mtime, case when bare = '' then strip_accents(lower(whole)) else bare end as stem, whole from bare join lasts using (path))"""
+STEMS_SQL = rf"""with recursive {_STEMS} select path, stem, replace(substr(regexp_extract_all(whole, '(?i)[ _-]({ranking.VERSION})(?:[^\p{{L}}\p{{N}}_]|$)', 1)[-1], 2), '_', '.') as version from stems"""
+
+
+def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.newest_of_families(_files(spark, sf_dir))
+
+
+NEWEST_SQL = rf"""with recursive {_STEMS} select path, mtime from (select *, row_number() over (partition by lower(regexp_extract(path, '[^.]*$')), stem order by mtime desc, path desc) as n from stems) where n = 1"""
+
+
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_chunks = chunks(spark, sf_dir)
     hits = all_chunks.filter("ordinal % 5 = 2").select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "ordinal")
@@ -148,24 +181,34 @@ from hits left join near using (doc_id, ordinal) group by doc_id, ordinal"""
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions in texts that carry made-up identifiers."""
+    """Mentions in the paragraphs of the documents, the first of which carries made-up identifiers besides."""
     n = F.col("doc_id")
-    text = F.concat(
-        F.lit("see iso  "), (9000 + n % 50).cast("string"), F.lit(":2015 and AB-"), (10 + n % 90).cast("string"), F.lit("-"), (1000 + n % 300).cast("string"),
-        F.when(n % 3 == 0, F.concat(F.lit(" or ISO/IEC 27.00"), (n % 9).cast("string"))).otherwise(""),
+    part = lambda d, low, most: (low + F.pmod(F.floor(n / d), F.lit(most))).cast("string")
+    added = F.concat(
+        F.lit(";  abnt nbr iso/iec "), part(5, 27000, 70000), F.lit(":2015;  PO-V"), part(7, 1, 1000000), F.lit("-12;  PL "), part(3, 10, 900000), F.lit("/2023;  Lei nº "),
+        part(4, 10, 900000), F.lit("/1993;  NR-"), part(6, 10000, 90000), F.lit("2019;  CT-0142;  12.345.678/0001-"), part(2, 10, 90), F.lit(";  "),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), text.alias("text"))
-    return graph.mentions(docs)
+    rows = chunks(spark, sf_dir).select("doc_id", "ordinal", F.when(F.col("ordinal") == 0, F.concat("text", added)).otherwise(F.col("text")).alias("text"))
+    return graph.mentions(rows)
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mentions(spark, sf_dir).select("doc", "kind", "value", "first")
 
 
-_MENTIONS = """raw as (select distinct doc_id as doc, unnest([{'k': 'norma', 'v': 'ISO ' || (9000 + doc_id % 50)},
-  {'k': 'codigo', 'v': 'AB-' || (10 + doc_id % 90) || '-' || (1000 + doc_id % 300)},
-  case when doc_id % 3 = 0 then {'k': 'norma', 'v': 'ISO/IEC 2700' || (doc_id % 9)} end]) as m from documents),
-mentions as (select doc, m.k as kind, m.v as value, 0 as first from raw where m is not null)"""
+_EDGE = "[^0-9A-Za-zÀ-ÿ]"
+_FOUND = " union all ".join(
+    f"select doc_id as doc, ordinal, '{kind}' as kind, unnest(regexp_extract_all(text, '{p[:4] if p.startswith('(?i)') else ''}(?:^|{_EDGE})({p.removeprefix('(?i)')})(?:{_EDGE}|$)', 1)) as raw from marked" for kind, p in graph.KINDS
+)
+_MENTIONS = f"""{CHUNKS},
+marked as (select doc_id, ordinal, case when ordinal > 0 then text else text || ';  abnt nbr iso/iec ' || (27000 + doc_id // 5 % 70000) || ':2015;  PO-V' || (1 + doc_id // 7 % 1000000) || '-12;  PL ' || (10 + doc_id // 3 % 900000)
+  || '/2023;  Lei nº ' || (10 + doc_id // 4 % 900000) || '/1993;  NR-' || (10000 + doc_id // 6 % 90000) || '2019;  CT-0142;  12.345.678/0001-' || (10 + doc_id // 2 % 90) || ';  ' end as text from chunks),
+raws as ({_FOUND}), single as (select *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as one from raws),
+cut as (select *, list_filter(regexp_split_to_array(upper(one), '[\\s/-]+'), lambda p: not regexp_matches(p, '^[0-9]')) as named, list_filter(regexp_split_to_array(upper(one), '[\\s/-]+'), lambda p: regexp_matches(p, '^[0-9]'))[1] as num,
+  upper(split_part(one, ' ', 1)) as species, trim(regexp_replace(case when contains(one, ' ') then regexp_replace(one, '^[^ ]+ ', '') else '' end, 'n[º°.]', '', 'g')) as rest from single),
+worded as (select *, case when kind = 'norma' then coalesce(list_filter([{", ".join(repr(b) for b in graph.BODIES)}], lambda b: list_contains(named, b))[1], named[-1]) || ' ' || regexp_replace(replace(split_part(num, ':', 1), '.', ''), '^([0-9]{{4,5}})(19|20)[0-9]{{2}}$', '\\1')
+  when kind = 'lei' then trim(species || ' ' || case when species in ({", ".join(repr(b) for b in graph.PROMULGATED)}) then split_part(rest, '/', 1) else rest end) when kind = 'codigo' then upper(raw) else raw end as value from cut),
+mentions as (select doc, kind, value, min(ordinal)::int as first from worded group by all)"""
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +234,8 @@ QUERIES = {
     "name_ranking": (names, NAMES_SQL),
     "hybrid_search": (hybrid, HYBRID_SQL),
     "version_families": (families, FAMILIES_SQL),
+    "file_stems": (stems, STEMS_SQL),
+    "newest_of_families": (newest, NEWEST_SQL),
     "context_window": (context, CONTEXT_SQL),
     "identifier_mentions": (mentions, f"with {_MENTIONS} select doc, kind, value, first from mentions"),
     "graph_neighbours": (

@@ -73,7 +73,27 @@ def test_exact_neighbours_in_blocks(spark):
 
 def test_identifiers(spark):
     found = one(spark, graph.identifiers, "ISO 42001:2023, iso/iec 27.001 e CT-2024-0142; 12.345.678/0001-90; Lei nº 8.666/93 ISO 42001")
-    assert [tuple(x) for x in found] == [("norma", "ISO 42001"), ("norma", "ISO/IEC 27001"), ("lei", "LEI 8666/93"), ("codigo", "CT-2024-0142"), ("cnpj", "12.345.678/0001-90")]
+    assert [tuple(x) for x in found] == [("norma", "ISO 42001"), ("norma", "ISO 27001"), ("lei", "LEI 8.666"), ("codigo", "CT-2024-0142"), ("cnpj", "12.345.678/0001-90")]
+    found = one(spark, graph.identifiers, "PO-VCE-007 NR 12 PL 2338/2023 ISO-420012023 ISO 42001:2023 VCE-007 covid-19 Decreto 11.129/2022 0000123-45.2023.8.26.0100")
+    assert [tuple(x) for x in found] == [
+        ("norma", "NR 12"), ("norma", "ISO 42001"), ("lei", "PL 2338/2023"), ("lei", "DECRETO 11.129"), ("codigo", "PO-VCE-007"), ("processo", "0000123-45.2023.8.26.0100"),
+    ]
+
+
+def test_stems_and_versions(spark):
+    stems = {p: one(spark, ranking.stem, p) for p in ("a/Cópia de plano.docx", "plano_v6_Comentado.pdf", "plano apresentado_v3.pdf", "Plano_GC.pdf", "plano_de.pdf", "v2.pdf", "plano (1) - Copia.pdf", "nova.pdf")}
+    assert stems == {
+        "a/Cópia de plano.docx": "plano", "plano_v6_Comentado.pdf": "plano", "plano apresentado_v3.pdf": "plano", "Plano_GC.pdf": "plano", "plano_de.pdf": "plano de", "v2.pdf": "v2",
+        "plano (1) - Copia.pdf": "plano", "nova.pdf": "nova",
+    }
+    assert one(spark, ranking.version, "x_v1/plano_v12.3 v2_1.docx") == [2, 1] and one(spark, ranking.version, "x_v1/plano.docx") is None
+
+
+def test_hop_puts_neighbours_after_their_hit(spark):
+    hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id int, item string, rank int")
+    near = spark.createDataFrame([("a", "x", 1), ("a", "c", 2), ("b", "a", 1), ("c", "y", 1)], "doc string, other string, rank int")
+    got = [r.item for r in graph.hop(hits, near, expanded=2, k=5).orderBy("rank").collect()]
+    assert got == ["a", "x", "c", "b"]
 
 
 def test_metrics_and_movements(spark):
