@@ -270,7 +270,7 @@ r as (select m.*, e.*, greatest(0, least(1, 1 - dist)) as fpi,
   case when score <= ls then lc when score >= hs then hc else (select ac + (m.score - as_) / (bs - as_) * (bc - ac) from st where as_ <= m.score and m.score <= bs order by ac limit 1) end as tc from m join d using (model_id), ends e),
 f as (select *, case when front then 1.0::double else round(fpi, 4) end as proximity from r),
 measured as (select model_id, score, speed, ok, proximity, not front and fpi >= 0.95 as near, case when front then 0.0::double else greatest(0.0::double, round(q - score, 2)) end as gap_score, case when front then 0.0::double else greatest(0.0::double, round(c - tc, 6)) end as gap_cost,
-  round((proximity * (1 + case when speed >= 110 then 0.1::double when speed >= 80 then 0.05::double else 0.0::double end + case when context >= 500000 then 0.08::double else 0.0::double end + case when latency > 0 and latency <= 0.4 then 0.06::double else 0.0::double end))::varchar::decimal(38, 20), 4)::double as opportunity from f)"""
+  round((proximity * (1 + (case when speed >= 110 then 0.1::double when speed >= 80 then 0.05::double else 0.0::double end + case when context >= 500000 then 0.08::double else 0.0::double end + case when latency > 0 and latency <= 0.4 then 0.06::double else 0.0::double end)))::varchar::decimal(38, 20), 4)::double as opportunity from f)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
