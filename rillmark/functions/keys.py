@@ -87,13 +87,14 @@ def is_dump(path: Column) -> Column:
 
 
 def column_letters(number: Column) -> Column:
-    """Spreadsheet letters of a column number: 1 is A, 27 is AA; up to three letters."""
+    """Spreadsheet letters of a column number: 1 is A, 27 is AA; a number beyond three letters (18,278) is an error."""
     n = number.cast("long")
     letter = lambda x: F.char(F.lit(65) + F.pmod(x, F.lit(26)))
     second, third = F.floor((n - 1) / 26), F.floor((F.floor((n - 1) / 26) - 1) / 26)
-    return F.concat(
+    text = F.concat(
         F.when(n > 702, letter(third - 1)).otherwise(""), F.when(n > 26, letter(second - 1)).otherwise(""), letter(n - 1)
     )
+    return F.when((n < 1) | (n > 18_278), F.raise_error(F.lit("no column of three letters or fewer")).cast("string")).otherwise(text)
 
 
 def human_bytes(size: Column) -> Column:

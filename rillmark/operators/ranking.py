@@ -22,44 +22,55 @@ RRF_K = 60
 def exact_neighbours(queries: DataFrame, items: DataFrame, *, k: int, id_col: str = "id", vector_col: str = "vector", block: int = 4096) -> DataFrame:
     """(query_id, item, score, rank): exact cosine top-k of a stated query set against all items.
 
-    Queries are met in blocks of bounded size by every partition of the items,
-    which keeps k per query; what is shuffled is k rows per query and task.
-    Items with a null, zero or non-finite vector are left out, a query never
-    finds the item of its own id.  Float vectors are compared in doubles.
+    Queries are met in blocks of about ``block`` by every partition of the
+    items, which keeps k per query; what is shuffled is k rows per query and
+    task.  Vectors that are null, empty, zero or hold null or non-finite
+    components are left out, vectors of unequal length don't meet, and a query
+    never finds the item of its own id.  Float vectors are compared in doubles.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
-    rows = items.select(F.col(id_col).alias("item"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
-    numbered = asked.withColumn("part", F.floor(F.row_number().over(W.orderBy("query_id")) / block).cast("int"))
-    parts = [r[0] for r in numbered.select("part").distinct().orderBy("part").collect()]
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = items.select(F.col(id_col).alias("item"), F.col(vector_col).cast("array<double>").alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    asked, rows = asked.filter(finite), rows.filter(finite)
     schema = T.StructType([asked.schema["query_id"], rows.schema["item"], T.StructField("score", T.DoubleType())])
-    found = [_block(rows, numbered.filter(F.col("part") == p), k, schema) for p in parts]
+    parts = -(-asked.count() // block)
+    numbered = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(parts, 1))))
+    found = [_block(rows, numbered.filter(F.col("part") == p), k, schema) for p in range(parts)]
     if not found:
         return rows.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
     return top_k(reduce(DataFrame.unionByName, found), k)
 
 
 def _block(rows: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """The k best items of one block of queries; the block is read to the driver and broadcast."""
     data = queries.select("query_id", "v").toPandas()
-    names, matrix = data["query_id"].to_numpy(), np.array(data["v"].tolist(), dtype=np.float64)
-    sizes = np.sqrt((matrix * matrix).sum(axis=1))
-    shared = rows.sparkSession.sparkContext.broadcast((names, matrix, sizes))
+    names, vectors = data["query_id"].tolist(), [np.array(v, dtype=np.float64) for v in data["v"]]
+    widths = np.array([len(v) for v in vectors], dtype=np.int64)
+    asked = {w: (np.flatnonzero(widths == w), np.stack([v for v in vectors if len(v) == w])) for w in np.unique(widths).tolist()}
+    shared = rows.sparkSession.sparkContext.broadcast((names, asked))
     types = [f.type for f in to_arrow_schema(schema)]
 
     def search(batches):
-        names, matrix, sizes = shared.value
+        names, asked = shared.value
         best: list[list[tuple[float, object]]] = [[] for _ in names]
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            own = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            lengths = np.sqrt((own * own).sum(axis=1))
-            good = np.isfinite(lengths) & (lengths > 0)
-            for q in np.flatnonzero(np.isfinite(sizes) & (sizes > 0)):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = np.where(good, (own * matrix[q]).sum(axis=1) / (lengths * sizes[q]), -np.inf)
-                # k of a batch and one for the query's own row; all ties of the last stay in
-                at = np.flatnonzero(score >= np.partition(score, -min(k + 1, len(score)))[-min(k + 1, len(score))])
-                rows = [(-round(float(score[i]), 6), ids[i]) for i in at if good[i] and ids[i] != names[q]]
-                best[q] = sorted(best[q] + rows)[:k]
+            ids, own = batch.column(0).to_pylist(), batch.column(1)
+            counts = np.diff(np.asarray(own.offsets))
+            for width, (numbers, matrix) in asked.items():
+                at = np.flatnonzero(counts == width)
+                if not len(at):
+                    continue
+                items = np.asarray(own.take(pa.array(at)).flatten()).reshape(-1, width)
+                lengths, sizes = np.sqrt((items * items).sum(axis=1)), np.sqrt((matrix * matrix).sum(axis=1))
+                near = (matrix / sizes[:, None]) @ (items / lengths[:, None]).T
+                # k of a batch and one for the query's own row; all that tie with the last stay in
+                most = min(k + 1, len(at))
+                floor = np.partition(near, len(at) - most, axis=1)[:, len(at) - most] - 1e-9
+                for q, scores, least, vector, size in zip(numbers.tolist(), near, floor, matrix, sizes):
+                    kept = np.flatnonzero(scores >= least)
+                    exact = (items[kept] * vector).sum(axis=1) / (lengths[kept] * size)
+                    rows = [(-round(float(s), 6), ids[at[i]]) for s, i in zip(exact, kept.tolist()) if ids[at[i]] != names[q]]
+                    best[q] = sorted(best[q] + rows)[:k]
         out = [(names[q], item, -score) for q, rows in enumerate(best) for score, item in rows]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=["query_id", "item", "score"])

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of whole texts, which are dealt out where their files have fewer splits than there are cores.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

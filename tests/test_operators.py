@@ -178,3 +178,10 @@ def test_stream_keeps_a_table_and_restarts(spark, tmp_path):
         state = max((tmp_path / "out").glob("state=*"), key=lambda p: int(p.name.split("=")[1]))
         got = {(r.path, r.v) for r in spark.read.parquet(str(state)).collect()}
         assert got == [{("a", 1), ("b", 2)}, {("b", 2), ("c", 3)}][n]
+
+
+def test_exact_neighbours_of_unequal_lengths(spark):
+    items = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [float("nan"), 1.0]), (9, [None, 1.0])]
+    df = spark.createDataFrame(items, "id long, vector array<double>")
+    got = [tuple(r) for r in ranking.exact_neighbours(df, df, k=2, block=2).select("query_id", "rank", "item").orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 2), (3, 2, 1)]
