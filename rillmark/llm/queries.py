@@ -11,16 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.corpus import table
 from . import bpe, embedding_dedup, forest, lm_score, mixing, sharding, simhash, substring, toxicity, warc
 from .storage import new_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def vocabulary() -> tuple[str, str]:
     """Path and pattern of the public vocabulary that op2 names."""
     import public_tokenizers

@@ -7,6 +7,7 @@ and unlike ``DataFrame.checkpoint`` it is columnar and compressed.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,10 +18,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names; a temporary one only where none is named and all runs in one process."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="rillmark-")
     atexit.register(shutil.rmtree, own, True)
     spark.conf.set(SETTING, f"file://{own}")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
 import duckdb
 import pytest
+import tiktoken
 
 import corpus_pipeline
 from rillmark.llm import mixing, queries, toxicity
@@ -23,6 +27,57 @@ def test_query_matches_sql(spark, name):
     assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
 
 
+CONTRACT = {
+    "op1_embedding_dedup": ["vec_id bigint", "n_links bigint", "component_id bigint", "kept boolean"],
+    "op2_bpe": ["doc_id bigint", "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"],
+    "op3_lm_difference": ["doc_id bigint"],
+    "op4_simhash": ["doc_id bigint", "fingerprint string", "component_id bigint"],
+    "op5_jump_sharding": ["doc_id bigint", "size bigint", "text_crc32 bigint", "law string", "shard int", "slot bigint", "grown_shard int"],
+    "op6_toxicity": ["doc_id bigint", "held_out boolean", "score double", "predicted int"],
+    "op7_substring_index": ["doc_id bigint", "n_words bigint", "n_removed bigint", "kept_sha256 string"],
+    "op8_curriculum": ["doc_id bigint", "size bigint", "source_size bigint", "target double", "taken bigint"],
+    "op9_hash_forest": ["query_id bigint", "rank int", "vec_id bigint", "score double"],
+    "op10_warc": ["page_id bigint", "payload_bytes bigint", "payload_digest string", "record_type string", "refers_to bigint"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_query_columns(spark, name):
+    frame = queries.queries()[name](spark, SF_DIR)
+    assert [f"{n} {t}" for n, t in frame.dtypes][: len(CONTRACT[name])] == CONTRACT[name]
+    key = frame.columns[0]
+    rows = frame.select(key).collect()
+    source = {"vec_id": "embeddings", "page_id": "pages", "doc_id": "documents"}.get(key)
+    assert source is None or sorted(r[0] for r in rows) == sorted(r[0] for r in queries.table(spark, SF_DIR, source).select(key).collect())
+
+
+def test_substring_query_matches_brute_force(spark):
+    docs = sorted((r.doc_id, r.text) for r in queries.table(spark, SF_DIR, "documents").collect())
+    seen, want = set(), []
+    for name, text in docs:
+        words = (text or "").encode().split()
+        gone = [False] * len(words)
+        for i in range(len(words) - 19):
+            key = tuple(words[i : i + 20])
+            if key in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(key)
+        kept = b" ".join(w for w, g in zip(words, gone) if not g)
+        want.append((name, len(words), sum(gone), hashlib.sha256(kept).hexdigest()))
+    assert sorted(tuple(r) for r in queries.op7_substring_index(spark, SF_DIR).collect()) == want
+
+
+def test_bpe_query_matches_the_tokenizer_library(spark):
+    path, pattern = queries.vocabulary()
+    ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in open(path, "rb"))}
+    coder = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in queries.table(spark, SF_DIR, "documents").collect():
+        ids = coder.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(tuple(r) for r in queries.op2_bpe(spark, SF_DIR).collect()) == sorted(want)
+
+
 def shingles(text, k=5):
     words = (text or "").encode().lower().split()
     return frozenset(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
