@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions.text import tokens
 
 #: Parameters of the ranking function, and the floor of a term's information.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+# What a query takes for a term, and the signs that keep a code such as CT-2024-0142 together as a phrase.
+TERM, JOINTS = r"[0-9A-Za-zÀ-ÿ][0-9A-Za-zÀ-ÿ\-./_]*", "[-./_]"
 
 
 def postings(chunks: DataFrame, *, only: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -66,6 +70,55 @@ def bm25(queries: DataFrame, chunks: DataFrame, *, k: int, id_col: str = "chunk_
     return top_k(scored.groupBy("query_id", "item").agg(F.round(F.sum("part"), 6).alias("score")), k)
 
 
+def query_phrases(queries: DataFrame, *, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, phrase, whole, times): a query's terms as arrays of tokens; ``whole`` where a joint holds a term together."""
+    found = queries.select(F.col(id_col).alias("query_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"({TERM})"), F.lit(1))).alias("t"))
+    phrases = found.select("query_id", tokens(F.col("t")).alias("phrase"), F.col("t").rlike(JOINTS).alias("whole"))
+    return phrases.filter(F.size("phrase") > 0).groupBy("query_id", "phrase", "whole").agg(F.count("*").alias("times"))
+
+
+def bm25_fields(
+    queries: DataFrame, rows: DataFrame, *, k: int, fields: Mapping[str, float], id_col: str = "chunk_id", within: DataFrame | None = None, prune: bool = True
+) -> DataFrame:
+    """(query_id, item, score, rank): the k best rows of every query by BM25 over several columns with weights.
+
+    A term with joints is a phrase, counted where all its tokens stand in a row
+    in one column; a term that a query repeats counts as often.  A row is as
+    long as all its columns.  With ``prune`` terms without joints that stand in
+    half of the rows or more are left out, unless nothing would be left.
+    ``within`` (column item) keeps what may be found; statistics cover all rows
+    nevertheless.  Null texts have no tokens.
+
+    Only the tokens of queries are shuffled, as (row, column, place); a phrase
+    is found by counting its tokens per place where it would start, so texts
+    are never carried to phrases.
+    """
+    split = rows.select(F.col(id_col).alias("item"), *[tokens(F.col(c)).alias(f"__{i}") for i, c in enumerate(fields)])
+    split = split.withColumn("length", sum((F.size(f"__{i}") for i in range(len(fields))), F.lit(0)).cast("long"))
+    size = split.agg(F.count("*").alias("c"), F.sum("length").alias("n")).first()
+    count, total = size.c, size.n or 0
+
+    def places(i: int, weight: float) -> Column:
+        return F.transform(f"__{i}", lambda t, at: F.struct(t.alias("token"), F.lit(i).alias("field"), F.lit(float(weight)).alias("weight"), at.alias("at")))
+
+    terms = query_phrases(queries).withColumn("term", F.array_join("phrase", " "))
+    parts = terms.select("term", F.size("phrase").alias("n"), F.posexplode("phrase").alias("step", "token")).distinct()
+    met = split.select("item", "length", F.inline(F.concat(*[places(i, w) for i, w in enumerate(fields.values())]))).join(parts, "token")
+    starts = met.filter("n > 1").groupBy("item", "length", "term", "n", "field", "weight", (F.col("at") - F.col("step")).alias("start")).agg(F.count("*").alias("held"))
+    whole = starts.filter("held = n").select("item", "length", "term", "weight").unionByName(met.filter("n = 1").select("item", "length", "term", "weight"))
+    index = whole.groupBy("item", "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
+    stats = statistics(index, count, total)
+    if prune:
+        known = terms.join(stats.select("term", "df"), "term", "left").withColumn("__kept", F.col("whole") | (2 * F.coalesce("df", F.lit(0)) < count))
+        terms = known.withColumn("__any", F.max("__kept").over(W.partitionBy("query_id"))).filter("__kept or not __any")
+    terms = terms.groupBy("query_id", "term").agg(F.sum("times").alias("times"))
+    average = total / count if count else 1.0
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
+    found = index.join(within.select("item"), "item", "left_semi") if within is not None else index
+    scored = found.join(stats, "term").select("term", "item", (F.col("idf") * weight).alias("part")).join(terms, "term")
+    return top_k(scored.groupBy("query_id", "item").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score")), k)
+
+
 def phrase_hits(queries: DataFrame, chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(query_id, item, hits): chunks that hold all tokens of the query in a row, and how often.
 

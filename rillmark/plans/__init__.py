@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import access, analytics, evaluation, functions, maintenance, registry, search, selection
+from . import access, analytics, delivery, evaluation, functions, maintenance, registry, search, selection
 
-_MODULES = (search, evaluation, functions, access, maintenance, analytics, registry, selection)
+_MODULES = (search, delivery, evaluation, functions, access, maintenance, analytics, registry, selection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
