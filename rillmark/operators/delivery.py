@@ -132,14 +132,12 @@ def _searched(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(documents.select("doc", "root", "path", "mtime"), "doc")
 
 
-def _ordered(parts: DataFrame, search: Search) -> DataFrame:
-    """Fused parts (query_id, item, root, path, mtime, part, source) in order, without roots not asked for and superseded documents.
+def _ordered(fused: DataFrame, search: Search) -> DataFrame:
+    """Results (query_id, item, root, path, mtime, score, sources) in order, without roots not asked for and superseded documents.
 
-    Adds score, rank, sources, older and formats.
+    Adds rank, older and formats.  A document travels with its results, of
+    which there are at most as many as candidates, so nothing is joined back.
     """
-    fused = parts.groupBy("query_id", "item").agg(
-        F.round(F.sum("part"), 9).alias("score"), F.sort_array(F.collect_set("source")).alias("sources"), *[F.first(c).alias(c) for c in ("root", "path", "mtime")]
-    )
     if search.root is not None:
         fused = fused.filter(F.col("root") == search.root)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "item")
@@ -147,10 +145,11 @@ def _ordered(parts: DataFrame, search: Search) -> DataFrame:
     if search.older:
         none = F.array().cast("array<string>")
         return fused.withColumns({"older": none, "formats": none})
-    seen = fused.groupBy("query_id", "path").agg(F.min("rank").alias("rank"), F.max("mtime").alias("mtime"))
-    won = ranking.collapse_families(seen).select("query_id", "path", "older", "formats")
+    own = F.collect_list(F.struct("item", "score", "sources", "root")).alias("own")
+    seen = fused.groupBy("query_id", "path").agg(F.min("rank").alias("rank"), F.max("mtime").alias("mtime"), own)
+    won = ranking.collapse_families(seen, carry=("own",)).select("query_id", "path", "older", "formats", F.inline("own"))
     # ranks close up over what was superseded
-    return fused.join(won, ["query_id", "path"]).withColumn("rank", F.row_number().over(order))
+    return won.withColumn("rank", F.row_number().over(order))
 
 
 def _reranked(ordered: DataFrame, shown: DataFrame, search: Search) -> DataFrame:
@@ -174,28 +173,32 @@ def passages(queries: DataFrame, chunks: DataFrame, documents: DataFrame, search
     """
     rows = _searched(chunks, documents)
     about = rows.select(F.col("chunk_id").alias("item"), "ordinal", "root", "path", "mtime")
+    none = F.lit(None).cast("double").alias("named")
     parts = [
-        r.select("query_id", "item", (F.lit(float(w)) / (ranking.RRF_K + F.col("rank"))).alias("part"), F.lit(source).alias("source"))
+        r.select("query_id", "item", (F.lit(float(w)) / (ranking.RRF_K + F.col("rank"))).alias("part"), none, F.lit(source).alias("source"))
         for source, w, r in _chunk_rankings(queries, rows, search)
     ]
-    pool = reduce(DataFrame.unionByName, parts) if parts else None
     names = _names(queries, documents, search)
     if names is not None:
-        # the chunks of named documents, ahead those that are found already
-        own = names.join(about.select("item", "path", "root", "ordinal"), "path")
-        if search.root is not None:
-            own = own.filter(F.col("root") == search.root)
-        if pool is not None:
-            held = pool.groupBy("query_id", "item").agg(F.round(F.sum("part"), 9).alias("held"))
-            own = own.join(held, ["query_id", "item"], "left")
-        else:
-            own = own.withColumn("held", F.lit(None).cast("double"))
-        best = F.row_number().over(W.partitionBy("query_id", "path").orderBy(F.col("held").desc_nulls_last(), "ordinal", "item"))
-        named = own.withColumn("__n", best).filter("__n = 1").select("query_id", "item", "part", F.lit("name").alias("source"))
-        pool = named if pool is None else pool.unionByName(named)
-    if pool is None:
+        # every chunk of a named document is offered; which of them gets the part is settled below
+        offered = names.withColumnRenamed("part", "named").join(about.select("item", "path"), "path")
+        parts.append(offered.select("query_id", "item", F.lit(None).cast("double").alias("part"), "named", F.lit(None).cast("string").alias("source")))
+    if not parts:
         raise ValueError("no ranking has a weight")
-    ordered = _ordered(pool.join(about.drop("ordinal"), "item"), search)
+    pool = reduce(DataFrame.unionByName, parts).groupBy("query_id", "item").agg(
+        F.sum("part").alias("part"), F.max("named").alias("named"), F.collect_set("source").alias("sources")
+    )
+    pool = pool.join(about, "item")
+    if search.root is not None:
+        pool = pool.filter(F.col("root") == search.root)
+    best = W.partitionBy("query_id", "path").orderBy(F.col("named").isNull(), F.round("part", 9).desc_nulls_last(), "ordinal", "item")
+    pool = pool.withColumn("named", F.when(F.row_number().over(best) == 1, F.col("named"))).filter("part is not null or named is not null")
+    fused = pool.select(
+        "query_id", "item", "root", "path", "mtime",
+        F.round(F.coalesce("part", F.lit(0.0)) + F.coalesce("named", F.lit(0.0)), 9).alias("score"),
+        F.sort_array(F.when(F.col("named").isNotNull(), F.array_append("sources", F.lit("name"))).otherwise(F.col("sources"))).alias("sources"),
+    )
+    ordered = _ordered(fused, search)
     texts = chunks.select(F.col("chunk_id").alias("item"), "doc", "ordinal", "trail", "text")
     shown = ordered.select("query_id", "item", "path").join(texts, "item") if search.rerank is not None else ordered
     hits = _reranked(ordered, shown, search).join(texts, "item").withColumnRenamed("item", "chunk_id")
@@ -230,7 +233,10 @@ def documents_found(queries: DataFrame, chunks: DataFrame, documents: DataFrame,
     if not parts:
         raise ValueError("no ranking has a weight")
     about = documents.select(F.col("doc").alias("item"), "root", "path", "mtime")
-    ordered = _ordered(reduce(DataFrame.unionByName, parts).join(about, "item"), search)
+    fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", "item").agg(
+        F.round(F.sum("part"), 9).alias("score"), F.sort_array(F.collect_set("source")).alias("sources")
+    )
+    ordered = _ordered(fused.join(about, "item"), search)
     # only what can be shown looks for its chunk
     kept = ordered.filter(F.col("rank") <= max(search.k, search.head)).select("query_id", F.col("item").alias("doc"), "path")
     openings = kept.select("query_id", "doc").join(of_chunk, "doc").select("query_id", "doc", F.lit(len(best)).alias("number"), F.col("ordinal").cast("long").alias("place"), "item")

@@ -163,7 +163,7 @@ def version(path: Column) -> Column:
     return F.split(last, r"[._]").cast("array<int>")
 
 
-def collapse_families(ranking: DataFrame) -> DataFrame:
+def collapse_families(ranking: DataFrame, *, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per version family and format group of a ranking, at the best position of its members.
 
     ``ranking`` has query_id, path, rank, mtime.  Within a family (same folder,
@@ -171,7 +171,8 @@ def collapse_families(ranking: DataFrame) -> DataFrame:
     least two versions are declared (then the older file, then the greater
     path), else the newest file (then the smaller path).  Winners of one stem
     in several formats leave the best placed.  Adds ``position``, ``formats``
-    and ``older`` (paths that lost, in order).
+    and ``older`` (paths that lost, in order); ``carry`` names further columns
+    of the winners to return.
     """
     rows = ranking.withColumn("family", F.concat_ws("::", fold(folder(F.col("path"))), fold(extension(F.col("path"))), stem(F.col("path")))).withColumn("v", version(F.col("path")))
     family = W.partitionBy("query_id", "family")
@@ -189,12 +190,13 @@ def collapse_families(ranking: DataFrame) -> DataFrame:
         F.min("__best").alias("position"),
         F.max(F.when(F.col("__place") == 1, F.col("path"))).alias("path"),
         F.expr("transform(array_sort(collect_list(if(__place > 1, struct(__place, path), null))), x -> x.path)").alias("older"),
+        *[F.first(F.when(F.col("__place") == 1, F.col(c)), ignorenulls=True).alias(c) for c in carry],
     )
     group = W.partitionBy("query_id", F.concat_ws("::", fold(folder(F.col("path"))), stem(F.col("path"))))
     best = won.withColumn("__n", F.row_number().over(group.orderBy("position", "path"))).withColumn(
         "formats", F.sort_array(F.collect_set(extension(F.col("path"))).over(group))
     )
-    return best.filter("__n = 1").select("query_id", "path", "position", "formats", "older")
+    return best.filter("__n = 1").select("query_id", "path", "position", "formats", "older", *carry)
 
 
 def newest_of_families(files: DataFrame) -> DataFrame:
