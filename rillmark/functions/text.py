@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def term_counts(words: Column) -> Column:
+    """(term, tf) of every distinct token of an array: the runs of the sorted array."""
+
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` of a value that is made once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def runs(own: Column) -> Column:
+        last = lambda i: (i == F.size(own)) | ((i < F.size(own)) & (F.get(own, i - 1) != F.get(own, i)))
+        count = lambda ends, at, n: (at - F.when(n == 0, 0).otherwise(F.get(ends, n - 1))).cast("long")
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), last)
+        return bound(ends, lambda e: F.transform(e, lambda at, n: F.struct(F.get(own, at - 1).alias("term"), count(e, at, n).alias("tf"))))
+
+    return bound(F.sort_array(words), runs)
+
+
 def name_tokens(path: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Distinct ASCII tokens of two or more characters, without stop words."""
     found = F.regexp_extract_all(fold(path), F.lit("([0-9a-z]+)"), F.lit(1))
