@@ -3,8 +3,12 @@
 One plan answers all queries of a batch.  Tables:
 
 - queries: query_id, text and, for the vector ranking, vector
-- chunks: chunk_id, doc, ordinal, trail, text and, for the vector ranking, vector
+- chunks: chunk_id, doc, ordinal, trail, text and, for the vector ranking, vector; where they carry root, path and mtime
+  of their document as well, their texts are not joined to it
 - documents: doc, root, path, mtime; one path may stand in several roots
+- vectors (optional): chunk_id, vector, in place of the chunks' own
+
+The k results of each query are broadcast to find their texts, which are never shuffled.
 """
 
 from __future__ import annotations
@@ -88,7 +92,7 @@ def _in_folder(path: Column, folder: str) -> Column:
     return (path == prefix) | path.startswith(f"{prefix}/") if prefix else F.lit(True)
 
 
-def _chunk_rankings(queries: DataFrame, rows: DataFrame, search: Search) -> list[tuple[str, float, DataFrame]]:
+def _chunk_rankings(queries: DataFrame, rows: DataFrame, search: Search, vectors: DataFrame | None) -> list[tuple[str, float, DataFrame]]:
     """(source, weight, ranking) of the vector and the word ranking, filters applied before the cut."""
     kept = _in_folder(F.col("path"), search.folder)
     if search.since is not None:
@@ -98,11 +102,12 @@ def _chunk_rankings(queries: DataFrame, rows: DataFrame, search: Search) -> list
     filtered = bool(search.folder.strip("/\\ ")) or search.since is not None or search.until is not None
     found = []
     if search.dense:
-        items = (rows.filter(kept) if filtered else rows).select("chunk_id", "vector")
+        items = rows.filter(kept) if filtered else rows
+        items = items.select("chunk_id", "vector") if vectors is None else vectors.select("chunk_id", "vector").join(items.select("chunk_id"), "chunk_id", "left_semi")
         near = ranking.exact_neighbours(queries.select(F.col("query_id").alias("chunk_id"), "vector"), items, k=search.candidates, id_col="chunk_id")
         found.append(("dense", search.dense, near.select("query_id", "item", "rank")))
     if search.lexical:
-        within = rows.filter(kept).select(F.col("chunk_id").alias("item")) if filtered else None
+        within = kept if filtered else None
         asked = queries.withColumn("text", expand(F.col("text"), search.glossary))
         words = lexical.bm25_fields(asked, rows, k=search.candidates, fields=search.fields, within=within, prune=search.prune)
         found.append(("lexical", search.lexical, words.select("query_id", "item", "rank")))
@@ -129,7 +134,8 @@ def _names(queries: DataFrame, documents: DataFrame, search: Search) -> DataFram
 
 def _searched(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks with root, path and time of their document; the searchable path is a column of words."""
-    return chunks.join(documents.select("doc", "root", "path", "mtime"), "doc")
+    about = ["root", "path", "mtime"]
+    return chunks if set(about) <= set(chunks.columns) else chunks.join(documents.select("doc", *about), "doc")
 
 
 def _ordered(fused: DataFrame, search: Search) -> DataFrame:
@@ -152,6 +158,12 @@ def _ordered(fused: DataFrame, search: Search) -> DataFrame:
     return won.withColumn("rank", F.row_number().over(order))
 
 
+def _held(ordered: DataFrame, search: Search) -> DataFrame:
+    """The results that can be shown, without their lineage: at most ``k`` or ``head`` per query, read to the driver once."""
+    rows = ordered.filter(F.col("rank") <= max(search.k, search.head))
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def _reranked(ordered: DataFrame, shown: DataFrame, search: Search) -> DataFrame:
     """The k first, after a model had its say on the head; ``shown`` has query_id, item, path, trail, text."""
     if search.rerank is not None:
@@ -162,7 +174,7 @@ def _reranked(ordered: DataFrame, shown: DataFrame, search: Search) -> DataFrame
     return ordered.filter(F.col("rank") <= search.k)
 
 
-def passages(queries: DataFrame, chunks: DataFrame, documents: DataFrame, search: Search = Search()) -> DataFrame:
+def passages(queries: DataFrame, chunks: DataFrame, documents: DataFrame, search: Search = Search(), *, vectors: DataFrame | None = None) -> DataFrame:
     """The best chunks of every query, of current documents only unless ``older``.
 
     Returns query_id, rank, chunk_id, doc, ordinal, root, path, trail, text,
@@ -176,7 +188,7 @@ def passages(queries: DataFrame, chunks: DataFrame, documents: DataFrame, search
     none = F.lit(None).cast("double").alias("named")
     parts = [
         r.select("query_id", "item", (F.lit(float(w)) / (ranking.RRF_K + F.col("rank"))).alias("part"), none, F.lit(source).alias("source"))
-        for source, w, r in _chunk_rankings(queries, rows, search)
+        for source, w, r in _chunk_rankings(queries, rows, search, vectors)
     ]
     names = _names(queries, documents, search)
     if names is not None:
@@ -198,18 +210,18 @@ def passages(queries: DataFrame, chunks: DataFrame, documents: DataFrame, search
         F.round(F.coalesce("part", F.lit(0.0)) + F.coalesce("named", F.lit(0.0)), 9).alias("score"),
         F.sort_array(F.when(F.col("named").isNotNull(), F.array_append("sources", F.lit("name"))).otherwise(F.col("sources"))).alias("sources"),
     )
-    ordered = _ordered(fused, search)
+    ordered = _held(_ordered(fused, search), search)
     texts = chunks.select(F.col("chunk_id").alias("item"), "doc", "ordinal", "trail", "text")
-    shown = ordered.select("query_id", "item", "path").join(texts, "item") if search.rerank is not None else ordered
-    hits = _reranked(ordered, shown, search).join(texts, "item").withColumnRenamed("item", "chunk_id")
+    shown = texts.join(F.broadcast(ordered.select("query_id", "item", "path")), "item") if search.rerank is not None else ordered
+    hits = texts.join(F.broadcast(_reranked(ordered, shown, search)), "item").withColumnRenamed("item", "chunk_id")
     if search.window:
-        hits = ranking.context(hits.withColumnRenamed("doc", "doc_id"), chunks.withColumnRenamed("doc", "doc_id"), search.window).withColumnRenamed("doc_id", "doc")
+        hits = ranking.context(hits.withColumnRenamed("doc", "doc_id"), chunks.withColumnRenamed("doc", "doc_id"), search.window, few=True).withColumnRenamed("doc_id", "doc")
     else:
         hits = hits.withColumns({"before": F.lit(""), "after": F.lit("")})
     return hits.select("query_id", "rank", "chunk_id", "doc", "ordinal", "root", "path", "trail", "text", "score", "sources", "older", "formats", "before", "after")
 
 
-def documents_found(queries: DataFrame, chunks: DataFrame, documents: DataFrame, search: Search = Search()) -> DataFrame:
+def documents_found(queries: DataFrame, chunks: DataFrame, documents: DataFrame, search: Search = Search(), *, vectors: DataFrame | None = None) -> DataFrame:
     """The best documents of every query, of current ones only unless ``older``.
 
     Each chunk ranking becomes a ranking of documents by their first chunk,
@@ -223,7 +235,7 @@ def documents_found(queries: DataFrame, chunks: DataFrame, documents: DataFrame,
     if search.root is not None:
         of_chunk = of_chunk.filter(F.col("root") == search.root)
     parts, best = [], []
-    for number, (source, w, r) in enumerate(_chunk_rankings(queries, rows, search)):
+    for number, (source, w, r) in enumerate(_chunk_rankings(queries, rows, search, vectors)):
         placed = r.join(of_chunk, "item")
         parts.append(ranking.first_per_document(placed).select("query_id", "item", (F.lit(float(w)) / (ranking.RRF_K + F.col("rank"))).alias("part"), F.lit(source).alias("source")))
         best.append(placed.select("query_id", "doc", F.lit(number).alias("number"), F.col("rank").cast("long").alias("place"), "item"))
@@ -236,12 +248,13 @@ def documents_found(queries: DataFrame, chunks: DataFrame, documents: DataFrame,
     fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", "item").agg(
         F.round(F.sum("part"), 9).alias("score"), F.sort_array(F.collect_set("source")).alias("sources")
     )
-    ordered = _ordered(fused.join(about, "item"), search)
+    ordered = _held(_ordered(fused.join(about, "item"), search), search)
     # only what can be shown looks for its chunk
-    kept = ordered.filter(F.col("rank") <= max(search.k, search.head)).select("query_id", F.col("item").alias("doc"), "path")
-    openings = kept.select("query_id", "doc").join(of_chunk, "doc").select("query_id", "doc", F.lit(len(best)).alias("number"), F.col("ordinal").cast("long").alias("place"), "item")
+    kept = ordered.select("query_id", F.col("item").alias("doc"), "path")
+    openings = of_chunk.join(F.broadcast(kept.select("query_id", "doc")), "doc").select("query_id", "doc", F.lit(len(best)).alias("number"), F.col("ordinal").cast("long").alias("place"), "item")
     first = reduce(DataFrame.unionByName, [*best, openings]).groupBy("query_id", "doc").agg(F.min(F.struct("number", "place", "item")).alias("b"))
-    texts = kept.join(first, ["query_id", "doc"]).select("query_id", "doc", "path", F.col("b.item").alias("chunk_id")).join(chunks.select("chunk_id", "trail", "text"), "chunk_id")
+    chosen = kept.join(first, ["query_id", "doc"]).select("query_id", "doc", "path", F.col("b.item").alias("chunk_id"))
+    texts = chunks.select("chunk_id", "trail", "text").join(F.broadcast(chosen), "chunk_id")
     texts = texts.select("query_id", F.col("doc").alias("item"), "path", "trail", "text")
     hits = _reranked(ordered, texts, search).join(texts.select("query_id", "item", "text"), ["query_id", "item"], "left")
     snippet = F.coalesce(F.substring("text", 1, SNIPPET), F.lit("")).alias("snippet")

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import fold, name_tokens
 from .lexical import top_k
+from .scoring import BLOCK, CELLS, Asked, Best, Terms, best_rows, id_keys, output, place_of
 
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
@@ -48,32 +49,37 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, schema: T.StructType) ->
     widths = np.array([len(v) for v in vectors], dtype=np.int64)
     asked = {w: (np.flatnonzero(widths == w), np.stack([v for v in vectors if len(v) == w])) for w in np.unique(widths).tolist()}
     shared = rows.sparkSession.sparkContext.broadcast((names, asked))
-    types = [f.type for f in to_arrow_schema(schema)]
+    types = to_arrow_schema(schema)
 
     def search(batches):
         names, asked = shared.value
-        best: list[list[tuple[float, object]]] = [[] for _ in names]
+        best = Best(len(names), k)
         for batch in batches:
-            ids, own = batch.column(0).to_pylist(), batch.column(1)
-            counts = np.diff(np.asarray(own.offsets))
+            ids, own = batch.column(0), batch.column(1)
+            counts, place, key, values = np.diff(np.asarray(own.offsets)), place_of(ids), id_keys(ids), ids.to_pylist()
             for width, (numbers, matrix) in asked.items():
-                at = np.flatnonzero(counts == width)
-                if not len(at):
-                    continue
-                items = np.asarray(own.take(pa.array(at)).flatten()).reshape(-1, width)
-                lengths, sizes = np.sqrt((items * items).sum(axis=1)), np.sqrt((matrix * matrix).sum(axis=1))
-                near = (matrix / sizes[:, None]) @ (items / lengths[:, None]).T
-                # k of a batch and one for the query's own row; all that tie with the last stay in
-                most = min(k + 1, len(at))
-                floor = np.partition(near, len(at) - most, axis=1)[:, len(at) - most] - 1e-9
-                for q, scores, least, vector, size in zip(numbers.tolist(), near, floor, matrix, sizes):
-                    kept = np.flatnonzero(scores >= least)
-                    exact = (items[kept] * vector).sum(axis=1) / (lengths[kept] * size)
-                    rows = [(-round(float(s), 6), ids[at[i]]) for s, i in zip(exact, kept.tolist()) if ids[at[i]] != names[q]]
-                    best[q] = sorted(best[q] + rows)[:k]
-        out = [(names[q], item, -score) for q, rows in enumerate(best) for score, item in rows]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=["query_id", "item", "score"])
+                alike, sizes = np.flatnonzero(counts == width), np.sqrt((matrix * matrix).sum(axis=1))
+                unit = matrix / sizes[:, None]
+                # so many items at once that neither their scores nor the vectors of a piece of pairs take much memory
+                high = max(1, min(CELLS // len(numbers), CELLS // width))
+                for low in range(0, len(alike), high):
+                    at = alike[low : low + high]
+                    items = np.asarray(own.take(pa.array(at)).flatten()).reshape(-1, width)
+                    lengths = np.sqrt((items * items).sum(axis=1))
+                    near = unit @ (items / lengths[:, None]).T
+                    cut = best.cut[numbers] - 1e-6
+                    if np.isinf(cut).any():
+                        # k of these and one for the query's own row; all that tie with the last stay in
+                        most = min(k + 1, len(at))
+                        cut = np.maximum(cut, np.partition(near, len(at) - most, axis=1)[:, len(at) - most] - 1e-6)
+                    query, item = np.nonzero(near >= cut[:, None])
+                    piece = max(1, CELLS // width)
+                    for a in range(0, len(query), piece):
+                        q, i = query[a : a + piece], item[a : a + piece]
+                        exact = (items[i] * matrix[q]).sum(axis=1) / (lengths[i] * sizes[q])
+                        other = np.array([values[r] != names[n] for r, n in zip(at[i].tolist(), numbers[q].tolist())], dtype=bool)
+                        best.add(numbers[q][other], np.round(exact[other], 6), at[i][other], place, key)
+        yield from best.batches(names, types)
 
     return rows.mapInArrow(search, schema)
 
@@ -81,19 +87,28 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, schema: T.StructType) ->
 def name_ranking(queries: DataFrame, paths: DataFrame, *, k: int, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, item, score, rank): two points per token in the file name, one per token in the folders only.
 
-    Paths are met through their tokens, never crossed with the queries; ties by
-    shorter path, then by path.
+    ``paths`` are distinct and queries have one row each.  Queries are met in
+    blocks by every partition of the paths, which keeps k per query; what is
+    shuffled is k rows per query and task.  Ties by shorter path, then by path.
     """
-    words = queries.select("query_id", F.explode(name_tokens(F.col("text"), stop_words)).alias("token"))
+    asked = queries.select("query_id", name_tokens(F.col("text"), stop_words).alias("tokens")).filter(F.size("tokens") > 0).collect()
     last = F.element_at(F.split("path", "/"), -1)
     folders = F.array_join(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), "/")
     own = name_tokens(F.regexp_replace(last, r"\.[^.]*$", ""), stop_words)
-    points = F.concat(
-        F.transform(own, lambda t: F.struct(t.alias("token"), F.lit(2).alias("points"))),
-        F.transform(F.array_except(name_tokens(folders, stop_words), own), lambda t: F.struct(t.alias("token"), F.lit(1).alias("points"))),
-    )
-    index = paths.select(F.col("path").alias("item"), F.inline(points))
-    scored = index.join(words, "token").groupBy("query_id", "item").agg(F.sum("points").alias("score"))
+    # dealt out, since short paths come in few splits, and in the order of ties
+    index = paths.select(F.col("path").alias("item"), F.length("path").alias("__size"), own.alias("__0"), F.array_except(name_tokens(folders, stop_words), own).alias("__1"))
+    index = index.repartition(paths.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("__size", "item")
+    schema = output(queries.schema["query_id"].dataType, paths.schema["path"].dataType)
+    numbers = {t: n for n, t in enumerate(dict.fromkeys(t for r in asked for t in r.tokens))}
+    blocks = []
+    for low in range(0, len(asked), BLOCK):
+        block = asked[low : low + BLOCK]
+        held = [(i, numbers[t], 1) for i, r in enumerate(block) for t in r.tokens]
+        # a token is taken to stand in as many paths as queries
+        share = np.bincount([t for _, t, _ in held], minlength=len(numbers)) / len(block)
+        blocks.append(Asked([r.query_id for r in block], held, share))
+    terms = Terms([(t,) for t in numbers]) if asked else None
+    scored = best_rows(index, terms, blocks, [2.0, 1.0], k, schema, digits=0, ordered=True).withColumn("score", F.col("score").cast("long"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.length("item"), "item")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -209,16 +224,17 @@ def newest_of_families(files: DataFrame) -> DataFrame:
 # -- context ----------------------------------------------------------------------
 
 
-def context(hits: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
+def context(hits: DataFrame, chunks: DataFrame, window: int, *, few: bool = False) -> DataFrame:
     """Texts before and after every hit, within ``window`` chunks of its document, other hits left out.
 
     The band join is made an equi-join: a hit asks for each ordinal around it.
+    ``few`` hits are broadcast to the chunks, whose texts then stay in place.
     """
     asked = hits.select("query_id", "doc_id", "ordinal", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("step")).filter("step <> 0")
     asked = asked.withColumn("near", F.col("ordinal") + F.col("step"))
     taken = hits.select("query_id", "doc_id", F.col("ordinal").alias("near"))
     asked = asked.join(taken, ["query_id", "doc_id", "near"], "left_anti")
-    near = asked.join(chunks.select("doc_id", F.col("ordinal").alias("near"), "text"), ["doc_id", "near"])
+    near = chunks.select("doc_id", F.col("ordinal").alias("near"), "text").join(F.broadcast(asked) if few else asked, ["doc_id", "near"])
     side = lambda cond: F.expr(f"trim(array_join(transform(array_sort(collect_list(if({cond}, struct(near, text), null))), x -> x.text), '\n'))")
     sides = near.groupBy("query_id", "doc_id", "ordinal").agg(side("step < 0").alias("before"), side("step > 0").alias("after"))
     out = hits.join(sides, ["query_id", "doc_id", "ordinal"], "left")
