@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,11 +47,34 @@ def indexing_queue(files: DataFrame) -> DataFrame:
     return scored.withColumn("position", F.row_number().over(order))
 
 
+def forgetful_sums(rows: DataFrame, by: str, order: str, sums: Mapping[str, tuple[str, Column]], *, forgetting: float, among: Mapping[str, Column]) -> DataFrame:
+    """(by, n_<kind>..., sums...): sums of a group where every later value makes the earlier ones count a little less.
+
+    ``among`` names kinds of rows by conditions; a sum (kind, value) takes rows
+    of its kind only, and only these age one another.  A group is dealt out by
+    ranges of its order; a range is summed up by itself, then aged by the
+    numbers of rows after it, so no task takes a whole group.  Rows of one place
+    are in the order of their values, so reruns agree.
+    """
+    part, ties = "__range", [F.col(f"__{name}").desc() for name in sums]
+    last = W.partitionBy(by, part).orderBy(F.col(order).desc(), *ties).rowsBetween(W.unboundedPreceding, -1)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    held = [F.coalesce(c, F.lit(False)).alias(f"__is_{kind}") for kind, c in among.items()]
+    values = [value.cast("double").alias(f"__{name}") for name, (_, value) in sums.items()]
+    dealt = rows.select(by, order, *held, *values).repartitionByRange(parts, by, order).withColumn(part, F.spark_partition_id())
+    aged = dealt.select("*", *[F.pow(F.lit(forgetting), F.count_if(f"__is_{kind}").over(last)).alias(f"__age_{kind}") for kind in among])
+    weighed = [F.sum(F.when(F.col(f"__is_{kind}"), F.col(f"__age_{kind}") * F.col(f"__{name}"))).alias(name) for name, (kind, _) in sums.items()]
+    own = aged.groupBy(by, part).agg(*[F.count_if(f"__is_{kind}").alias(f"n_{kind}") for kind in among], *weighed)
+    later = W.partitionBy(by).orderBy(F.col(part).desc()).rowsBetween(W.unboundedPreceding, -1)
+    own = own.select("*", *[F.pow(F.lit(forgetting), F.coalesce(F.sum(f"n_{kind}").over(later), F.lit(0))).alias(f"__age_{kind}") for kind in among])
+    return own.groupBy(by).agg(*[F.sum(f"n_{kind}").alias(f"n_{kind}") for kind in among], *[F.sum(F.col(f"__age_{kind}") * F.col(name)).alias(name) for name, (kind, _) in sums.items()])
+
+
 def forgetful_means(rows: DataFrame, by: str, order: str, value: str, forgetting: float = 0.995) -> DataFrame:
     """Mean of a group's values where every later value makes the earlier ones count a little less."""
-    back = F.row_number().over(W.partitionBy(by).orderBy(F.col(order).desc())) - 1
-    weighed = rows.withColumn("__w", F.pow(F.lit(forgetting), back))
-    return weighed.groupBy(by).agg(F.round(F.sum(F.col("__w") * F.col(value)) / F.sum("__w"), 6).alias("mean"), F.round(F.sum("__w"), 6).alias("weight"))
+    sums = {"total": ("all", F.col(value)), "whole": ("all", F.lit(1.0))}
+    got = forgetful_sums(rows, by, order, sums, forgetting=forgetting, among={"all": F.lit(True)})
+    return got.select(by, F.round(F.col("total") / F.col("whole"), 6).alias("mean"), F.round("whole", 6).alias("weight"))
 
 
 def merge_rules(rules: DataFrame) -> DataFrame:
@@ -84,24 +109,27 @@ def elo(races: DataFrame, *, by: str, order: str, winner: str, losers: str, k: f
 
 
 def least_squares(rows: DataFrame, *, by: str, order: str, x: str, y: str, forgetting: float = 0.995, ridge: float = 1e-3) -> DataFrame:
-    """(by, intercept, slope): recursive least squares with forgetting, neither coefficient below 0."""
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values(order)
-        weight = forgetting ** np.arange(len(own) - 1, -1, -1)
-        design = np.column_stack([np.ones(len(own)), own[x].to_numpy(dtype=float)])
-        target, best = own[y].to_numpy(dtype=float), (np.inf, np.zeros(2))
-        for free in ([0, 1], [0], [1], []):  # every set of coefficients that may differ from 0
-            beta = np.zeros(2)
-            if free:
-                part = design[:, free]
-                beta[free] = np.linalg.solve(part.T @ (part * weight[:, None]) + ridge * np.eye(len(free)), part.T @ (weight * target))
-            if (beta >= 0).all():
-                loss = float((weight * (target - design @ beta) ** 2).sum() + ridge * beta @ beta)
-                best = min(best, (loss, beta), key=lambda b: b[0])
-        return pd.DataFrame({by: [key[0]], "intercept": [best[1][0]], "slope": [best[1][1]]})
-
-    kind = rows.schema[by].dataType.simpleString()
-    return rows.select(by, order, x, y).groupBy(by).applyInPandas(run, f"{by} {kind}, intercept double, slope double")
+    """(by, intercept, slope): recursive least squares with forgetting, neither coefficient below 0.
+
+    Six sums of a group are all that a fit needs.  The fit of both coefficients
+    is the best if neither is below 0; else the best is one of those with fewer.
+    """
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    # a value that is missing leaves its group without a fit, not with one of fewer rows
+    nan = F.lit(float("nan"))
+    a, b = F.coalesce(a, nan), F.coalesce(b, nan)
+    values = {"w": F.lit(1.0), "x": a, "xx": a * a, "y": b, "xy": a * b}
+    own = forgetful_sums(rows, by, order, {k: ("all", v) for k, v in values.items()}, forgetting=forgetting, among={"all": F.lit(True)})
+    w, xx, cross = F.col("w") + ridge, F.col("xx") + ridge, F.col("x")
+    least = w * xx - cross * cross
+    both = F.array((xx * F.col("y") - cross * F.col("xy")) / least, (w * F.col("xy") - cross * F.col("y")) / least)
+    alone = F.array(F.col("y") / w, F.lit(0.0)), F.array(F.lit(0.0), F.col("xy") / xx)
+    # what each takes off the loss of no coefficient at all
+    gain = F.col("y") * F.col("y") / w, F.col("xy") * F.col("xy") / xx
+    fits = lambda fit: F.forall(fit, lambda c: ~F.isnan(c) & (c >= 0))
+    first = F.when(fits(alone[0]) & (~fits(alone[1]) | (gain[0] >= gain[1])), alone[0]).when(fits(alone[1]), alone[1]).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
+    best = F.when(F.isnan(F.col("xx") + F.col("xy") + F.col("y")), F.array(F.lit(0.0), F.lit(0.0))).when(fits(both), both).otherwise(first)
+    return own.select(by, best.alias("__best")).select(by, F.get("__best", F.lit(0)).alias("intercept"), F.get("__best", F.lit(1)).alias("slope"))
 
 
 def remaining_time(items: DataFrame, *, by: str, expected: str, spread: str, draws: int = 2000, seed: int = 7) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .analytics import skyline
+from .analytics import forgetful_sums, skyline
 
 #: Factors of cost and score by effort, and the most that a score can be.
 EFFORTS = {"low": (0.6, 0.95), "medium": (1.0, 1.0), "high": (1.8, 1.04), "max": (3.2, 1.07)}
@@ -139,12 +139,9 @@ def forgetful_profile(observations: DataFrame, *, forget: float = 0.995) -> Data
     without chunks count for ``ok_share`` only, and don't age the others' sums.
     """
     paid = (F.col("chunks") > 0) & (F.col("tokens") > 0) & (F.col("mb") > 0)
-    later = W.partitionBy("type").orderBy("at").rowsBetween(1, W.unboundedFollowing)
-    rows = observations.withColumn("paid", paid)
-    rows = rows.withColumn("age", F.count("*").over(later)).withColumn("paid_age", F.count(F.when(F.col("paid"), 1)).over(later))
-    aged, all_aged = F.when(F.col("paid"), F.pow(F.lit(forget), "paid_age")), F.pow(F.lit(forget), "age")
-    total = lambda c: F.sum(aged * F.col(c))
-    return rows.groupBy("type").agg(
-        F.count("*").alias("n"), F.round(total("tokens") / total("mb"), 6).alias("tokens_per_mb"), F.round(total("tokens") / total("chunks"), 6).alias("tokens_per_chunk"),
-        F.round(F.sum(F.when(F.col("ok"), all_aged).otherwise(0.0)) / F.sum(all_aged), 6).alias("ok_share"),
+    sums = {c: ("paid", F.col(c)) for c in ("tokens", "mb", "chunks")} | {"good": ("all", F.when(F.col("ok"), 1.0).otherwise(0.0)), "whole": ("all", F.lit(1.0))}
+    got = forgetful_sums(observations, "type", "at", sums, forgetting=forget, among={"all": F.lit(True), "paid": paid})
+    share = lambda a, b: F.round(F.col(a) / F.col(b), 6)
+    return got.select(
+        "type", F.col("n_all").alias("n"), share("tokens", "mb").alias("tokens_per_mb"), share("tokens", "chunks").alias("tokens_per_chunk"), share("good", "whole").alias("ok_share"),
     )

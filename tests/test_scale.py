@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import text
-from rillmark.operators import delivery, lexical, ranking, scoring
+from rillmark.operators import analytics, delivery, evaluation, lexical, model_choice, ranking, scoring
 
 
 def exchanges(df) -> list[str]:
@@ -83,3 +82,62 @@ def test_delivery_joins_no_texts(spark, monkeypatch):
         assert got.orderBy("rank").collect() == want.orderBy("rank").collect() and got.count() == 3
     plan = delivery.passages(queries, chunks, documents, delivery.Search(k=3), vectors=vectors)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_forgetful_sums_over_ranges(spark):
+    rows = [(g, i, float(i % 17) + 1, i % 3 > 0) for g, n in (("a", 500), ("b", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, n int, v double, ok boolean").repartition(5)
+    got = analytics.forgetful_sums(df, "g", "n", {"s": ("all", F.col("v")), "t": ("ok", F.col("v"))}, forgetting=0.99, among={"all": F.lit(True), "ok": F.col("ok")})
+    for r in got.collect():
+        own = [x for x in rows if x[0] == r.g]
+        paid = [x for x in own if x[3]]
+        want = [sum(x[2] * 0.99 ** (len(xs) - 1 - i) for i, x in enumerate(xs)) for xs in (own, paid)]
+        assert (r.n_all, r.n_ok) == (len(own), len(paid)) and (r.s, r.t or 0.0) == (pytest.approx(want[0]), pytest.approx(want[1]))
+    # no window runs to the end of a group, which takes time by the square of its rows
+    o = df.select(F.col("g").alias("type"), F.col("n").alias("at"), F.col("v").alias("mb"), F.col("v").alias("tokens"), F.col("n").alias("chunks"), "ok")
+    plan = model_choice.forgetful_profile(o)._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan
+
+
+def test_least_squares_takes_no_group_whole(spark):
+    rows = [("a", i, float(i % 7), 3.0 + 2.0 * (i % 7) + (i % 5)) for i in range(300)] + [("b", i, float(i), -5.0 + 0.5 * i) for i in range(40)]
+    rows += [("c", 1, None, 1.0), ("c", 2, 1.0, 1.0), ("d", 1, 2.0, -1.0), ("d", 1, 1.0, -3.0)]
+    df = spark.createDataFrame(rows, "g string, n int, x double, y double")
+    fit = analytics.least_squares(df, by="g", order="n", x="x", y="y")
+    assert not re.search("Pandas|Python|Arrow", fit._jdf.queryExecution().executedPlan().toString())
+    got = {r.g: (r.intercept, r.slope) for r in fit.collect()}
+    for g in "ab":
+        own = [r for r in rows if r[0] == g]
+        weight = 0.995 ** np.arange(len(own) - 1, -1, -1)
+        fits = []
+        for free in ([0, 1], [0], [1], []):
+            design, beta = np.array([[1.0, r[2]] for r in own]), np.zeros(2)
+            part, y = design[:, free], np.array([r[3] for r in own])
+            beta[free] = np.linalg.solve(part.T @ (part * weight[:, None]) + 1e-3 * np.eye(len(free)), part.T @ (weight * y)) if free else []
+            if (beta >= 0).all():
+                fits.append((float((weight * (y - design @ beta) ** 2).sum() + 1e-3 * beta @ beta), beta.tolist()))
+        assert got[g] == pytest.approx(tuple(min(fits)[1]))
+    assert got["c"] == got["d"] == (0.0, 0.0)
+
+
+def test_bootstrap_draws_some_at_a_time(spark, monkeypatch):
+    df = spark.createDataFrame([("a", float(i * i % 101)) for i in range(37)], "g string, v double")
+    assert evaluation.DRAWS * 8 <= 1 << 23
+    got = evaluation.bootstrap_interval(df, "g", "v", resamples=60_000).first()
+    own = np.sort([float(i * i % 101) for i in range(37)])
+    means = own[np.random.default_rng(20260824).integers(0, 37, size=(60_000, 37))].mean(axis=1)
+    assert (got.low, got.high) == tuple(np.quantile(means, [0.025, 0.975]))
+
+
+def test_weight_grid_sorts_no_candidates(spark):
+    from rillmark.plans import evaluation as plans
+
+    plan = plans.weight_grid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
+def test_neighbours_in_tiles_keep_ties(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CELLS", 6)
+    df = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(40)], "id int, vector array<double>").repartition(3)
+    got = [(r.query_id, r.item) for r in ranking.exact_neighbours(df.filter("id < 3"), df, k=4, block=2).orderBy("query_id", "rank").collect()]
+    assert got == [(q, q + 3 * n) for q in range(3) for n in range(1, 5)]
