@@ -26,6 +26,38 @@ def test_bm25_shuffles_no_postings(spark):
     assert not exchanges(lexical.phrase_hits(queries, chunks)) and not exchanges(lexical.postings(chunks))
 
 
+def shuffled(df) -> list[tuple[str, int]]:
+    """How each exchange of an executed plan deals out its rows, and the rows that it wrote."""
+
+    def walk(node) -> list[tuple[str, int]]:
+        if "QueryStageExec" in node.getClass().getSimpleName():
+            return walk(node.plan())
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        own = [(node.outputPartitioning().toString(), node.metrics().apply("shuffleRecordsWritten").value())] if node.nodeName() == "Exchange" else []
+        return own + [x for i in range(node.children().size()) for x in walk(node.children().apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_postings_statistics_shuffle_a_row_per_term_and_task(spark, tmp_path):
+    from rillmark.plans import search
+
+    lines = [f"Ção {i % 7} {i % 11} {i % 7}" for i in range(3000)]
+    docs = [(d, "\n".join(lines[d * 50 : d * 50 + 50]), "pt", "web") for d in range(60)]
+    spark.createDataFrame([*docs, (60, None, "pt", "web"), (61, "", "pt", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = search.postings_statistics(spark, str(tmp_path))
+    want: dict[str, list[int]] = {}
+    for line in lines:
+        words = line.replace("Ção", "cao").split()
+        for w in set(words):
+            want.setdefault(w, []).append(words.count(w))
+    assert {tuple(r) for r in df.collect()} == {(w, len(n), sum(n), max(n)) for w, n in want.items()}
+    by_key = [x for x in shuffled(df) if "hashpartitioning" in x[0]]
+    # 8,000 and more postings, but no more rows than terms in each of the four tasks
+    assert len(by_key) == 1 and 0 < by_key[0][1] <= 4 * len(want) < sum(map(len, want.values()))
+
+
 def test_term_counts(spark):
     rows = spark.createDataFrame([(["b", "a", "b", "ã"],), ([],), (["x"],)], "w array<string>")
     got = [sorted(tuple(x) for x in r.t) for r in rows.select(text.term_counts(F.col("w")).alias("t")).collect()]
